@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexweave.llm import exact_dedup, sharding
+from lexweave.llm import exact_dedup, sharding, simhash, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sharding": sharding.op4_sharding,
+    "op5_simhash": simhash.op5_simhash,
+    "op10_warc": warc.op10_warc,
 }
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
