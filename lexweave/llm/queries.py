@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexweave.llm import exact_dedup, packing, sharding, simhash, warc
+from lexweave.llm import exact_dedup, packing, pieces, sharding, simhash, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
 }
