@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.llm import exact_dedup, packing, pieces, sharding, simhash, warc
+from lexweave.llm import exact_dedup, media, packing, pieces, sharding, simhash, warc
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
