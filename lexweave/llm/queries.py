@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexweave.llm import exact_dedup, media, packing, pieces, sharding, simhash, warc
+from lexweave.llm import exact_dedup, media, packing, pieces, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_quality": quality.op2_quality,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
