@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import exact_dedup, html_density, media, packing, pieces, quality, sharding, simhash, warc
+from lexweave.llm import exact_dedup, html_density, media, packing, pieces, quality, secret_scan, sharding, simhash, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
     "op6_html": html_density.op6_html,
+    "op7_secrets": secret_scan.op7_secrets,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
