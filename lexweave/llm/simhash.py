@@ -54,10 +54,10 @@ def _words(text: bytes) -> Iterator[list[bytes]]:
         at = end if end == len(text) else end + 1
 
 
-def fingerprint(text: str, words_each: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a text."""
-    ones, total, carry = np.zeros(64, np.int64), 0, []
-    hashed, seed = xxhash.xxh64_intdigest, 42
+def shingle_hashes(text: str, words_each: int) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles; of the whole word sequence if it is shorter; nothing without words."""
+    carry: list[bytes] = []
+    hashed, seed, any_yet = xxhash.xxh64_intdigest, 42, False
     for words in _words(text.encode("utf-8", "surrogatepass").translate(LOWER)):
         words = carry + words
         if len(words) < words_each:
@@ -66,12 +66,19 @@ def fingerprint(text: str, words_each: int = 3) -> int:
         joined = b" ".join(words)
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = [0, *(ends[: len(words) - words_each] + 1).tolist()]
-        h = np.array([hashed(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)], "<u8")
+        yield np.array([hashed(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)], "<u8")
+        any_yet = True
+        carry = words[len(words) - words_each + 1 :] if words_each > 1 else []
+    if not any_yet and carry:
+        yield np.array([hashed(b" ".join(carry), seed)], "<u8")
+
+
+def fingerprint(text: str, words_each: int = 3) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a text."""
+    ones, total = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words_each):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(h)
-        carry = words[len(words) - words_each + 1 :] if words_each > 1 else []
-    if not total:
-        return hashed(b" ".join(carry), seed) if carry else 0
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
@@ -91,24 +98,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """(64, words): bit k of word w in plane b is bit b of fingerprint 64 * w + k."""
-    n = -(-len(fps) // 64)
-    padded = np.zeros(n * 64, "<u8")
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """fps (64 * words, lanes) -> (64 * lanes, words): bit k of word w in plane b is bit b of fingerprint 64 * w + k."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
 def near(planes: np.ndarray, queries: np.ndarray, tiles: np.ndarray, radius: int) -> np.ndarray:
-    """queries (t, 64) against the words tiles (t,): a bit for each of the 64 x 64 pairs within the radius, as words (t, 64)."""
+    """queries (t, 64, lanes) against the words tiles (t,): a bit for each of the 64 x 64 pairs within the radius, as words (t, 64)."""
     width = (radius + 1).bit_length()
     out = np.zeros((len(tiles), 64), "<u8")
     alive = np.arange(len(tiles))
     counters = [np.zeros((len(tiles), 64), "<u8") for _ in range(width)]
     over = np.zeros((len(tiles), 64), "<u8")
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b in range(64):
-        carry = planes[b][tiles[alive]][:, None] ^ (np.uint64(0) - (queries[alive] >> np.uint64(b) & np.uint64(1)))
+    for b in range(len(planes)):
+        carry = planes[b][tiles[alive]][:, None] ^ (np.uint64(0) - (queries[alive, :, b >> 6] >> np.uint64(b & 63) & np.uint64(1)))
         for k in range(width):  # add the plane to all distances at once
             carry, counters[k] = counters[k] & carry, counters[k] ^ carry
         above = full.copy()
@@ -138,14 +142,14 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """fps: buckets of the given sizes, one after another -> for each position the smallest linked position of its bucket."""
+    """fps (n, lanes): buckets of the given sizes, one after another -> for each position the smallest linked position of its bucket."""
     words = -(-sizes // 64)
     first_word = np.concatenate([[0], np.cumsum(words)])
     lane = np.arange(len(fps)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.repeat(first_word[:-1] * 64, sizes) + lane
-    padded, used = np.zeros(first_word[-1] * 64, "<u8"), np.zeros(first_word[-1] * 64, bool)
+    padded, used = np.zeros((first_word[-1] * 64, fps.shape[1]), "<u8"), np.zeros(first_word[-1] * 64, bool)
     padded[place], used[place] = fps, True
-    planes, queries = planes_of(padded), padded.reshape(-1, 64)
+    planes, queries = planes_of(padded), padded.reshape(-1, 64, fps.shape[1])
     valid = np.packbits(used.reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0]
     label = np.arange(len(padded))
 
@@ -181,7 +185,13 @@ def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np
 def _linker(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket. Whole buckets are compared; the last one of a batch waits for the next."""
-        held = [np.zeros(0, "<i8") for _ in range(4)]
+        held: list[np.ndarray] | None = None
+
+        def column(values: pa.Array) -> np.ndarray:
+            """Fingerprints as (n, lanes)."""
+            if pa.types.is_integer(values.type):
+                return values.to_numpy().view("<u8").reshape(-1, 1)
+            return np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(values), -1)
 
         def work(columns: list[np.ndarray]) -> pa.RecordBatch:
             major, minor, fp, rep = columns
@@ -189,21 +199,22 @@ def _linker(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             sizes = np.diff(np.concatenate([new, [len(fp)]]))
             keep = np.repeat(sizes > 1, sizes)
             fp, rep, sizes = fp[keep], rep[keep], sizes[sizes > 1]
-            root = bucket_links(fp.view("<u8"), sizes, radius) if len(fp) else np.zeros(0, np.int64)
+            root = bucket_links(fp, sizes, radius) if len(fp) else np.zeros(0, np.int64)
             linked = np.flatnonzero(root != np.arange(len(fp)))
             a, b = rep[linked], rep[root[linked]]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
 
         for batch in batches:
-            now = [np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("major", "minor", "fp", "rep"), strict=True)]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
+            now = [column(batch[c]) if c == "fp" else batch[c].to_numpy() for c in ("major", "minor", "fp", "rep")]
+            now = now if held is None else [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             held = [c[cut:].copy() for c in now]
             if cut:
                 yield work([c[:cut] for c in now])
-        if len(held[0]):
+        if held is not None and len(held[0]):
             yield work(held)
 
     return run
@@ -275,6 +286,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# Wide fingerprints, for similarities that 64 bits can't tell apart
+
+LANES, MINIMA = 4, 6
+#: Bits of 256 that may differ for a similarity of 0.8: a Jaccard similarity of 0.8 is a cosine of 0.89, for which 39 bits
+#: are expected to differ; 46 lets nine in ten pairs of just that similarity in.
+WIDE_RADIUS = 46
+
+
+def _mix(h: np.ndarray, lane: int) -> np.ndarray:
+    """An independent hash for each lane, from one hash."""
+    x = h + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str, words_each: int = 5, lanes: int = LANES, minima: int = MINIMA) -> tuple[bytes, list[int]]:
+    """64 * lanes majority bits, and the smallest hash of the shingles for each of several hash functions."""
+    ones, total, low = np.zeros(64 * lanes, np.int64), 0, np.full(minima, 2**64 - 1, "<u8")
+    for h in shingle_hashes(text, words_each):
+        total += len(h)
+        for lane in range(max(lanes, minima)):
+            mixed = _mix(h, lane)
+            if lane < lanes:
+                ones[64 * lane : 64 * lane + 64] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            if lane < minima:
+                low[lane] = min(low[lane], mixed.min())
+    return np.packbits(ones * 2 > total, bitorder="little").tobytes(), low.view("<i8").tolist()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, text_hash, component_id of every row, for texts whose shingles are similar to 0.8 or more.
+
+    Two of six smallest hashes name a bucket; texts of similarity 0.8 share one in 99.8 % of cases. In a bucket wide
+    fingerprints are compared bit-sliced. A bucket above bucket_rows is dealt again by a third smallest hash (98 %).
+    """
+    text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [wide_fingerprint(t.as_py(), words_each) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array([f for f, _ in made], pa.binary()), pa.array([m for _, m in made], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "low"])
+
+    text = text_or_empty(text_col)
+    prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp binary, low array<long>")
+    prints = materialize(prints, "wide-fingerprints")
+    distinct = materialize(prints.groupBy("fp", "low").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    pairs = [(a, b) for a in range(MINIMA) for b in range(a)]
+    major = F.array(*[F.struct(F.xxhash64(F.lit(n), F.col("low")[a], F.col("low")[b]).alias("major"), F.lit(n).alias("n")) for n, (a, b) in enumerate(pairs)])
+    keyed = distinct.filter("rep is not null").select(F.explode(major).alias("k"), "fp", "low", "rep").select("k.major", "k.n", "fp", "low", "rep")
+    counts = keyed.groupBy("major").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = keyed.join(counts, "major")
+    cold = shared.filter(F.col("size") <= bucket_rows).select("major", F.lit(-1).cast("long").alias("minor"), "fp", "rep")
+    third = F.lit(None).cast("array<long>")
+    for n, pair in enumerate(pairs):
+        third = F.when(F.col("n") == n, F.array(*[F.xxhash64(F.lit(c), F.col("low")[c]) for c in range(MINIMA) if c not in pair])).otherwise(third)
+    hot = shared.filter(F.col("size") > bucket_rows).select("major", F.explode(third).alias("minor"), "fp", "rep")
+    dealt = cold.unionByName(hot).repartition("major", "minor").sortWithinPartitions("major", "minor", "fp")
+    roots = components(dealt.mapInArrow(_linker(radius), "u long, v long"))
+    named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", "low", F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(named, ["fp", "low"]).select("doc_id", "text_hash", "component_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
