@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
 
@@ -141,7 +142,7 @@ def flat_json(raw: Column) -> Column:
     return F.from_json(raw, "map<string,string>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def balanced_div(htmls: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """H4: inner source of the div whose opening tag contains the marker, up to its own closing tag."""
     tags = re.compile(r"<(/?)div\b[^>]*>", re.I)
@@ -161,7 +162,7 @@ def balanced_div(htmls: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([cut(h, m) for h, m in zip(html, marker, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def densest_div(htmls: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """H3: of the elements whose p characters reach nine tenths of the most, the innermost; its p texts, a line each."""
     token = re.compile(r"<(/?)(div|p|td|section|article)\b[^>]*>", re.I)
