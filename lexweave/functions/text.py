@@ -134,12 +134,13 @@ def relevance(title: Column, body: Column, keywords: Column, terms: dict[str, in
     """T19x/T20x: weighted keyword density from 0 to 1. Titles and keywords count three times; from the fourth mention on
     a term grows with the square root; length and number of distinct terms are allowed for."""
     body, head = F.coalesce(body, F.lit("")), F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(keywords, F.lit("")))
-    raw, hits = F.lit(0.0), F.lit(0)
-    for term, weight in terms.items():
-        n, t = occurrences(body, term), occurrences(head, term)
-        effective = F.when(n > 3, 3 + F.sqrt(F.greatest(n - 3, F.lit(0.0)))).otherwise(n)
-        raw = raw + weight * (effective + t * 3)
-        hits = hits + ((n > 0) | (t > 0)).cast("int")
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(w)).alias("w")) for t, w in terms.items()])
+    count = lambda c, t: (F.length(c) - F.length(F.replace(c, t, F.lit("")))) / F.length(t)
+    effective = lambda n: F.when(n > 3, 3 + F.sqrt(F.greatest(n - 3, F.lit(0.0)))).otherwise(n)
+    # Terms that don't occur drop out before anything is counted; the sum runs over the table, so the plan stays small.
+    present = F.filter(table, lambda e: F.contains(body, e["t"]) | F.contains(head, e["t"]))
+    parts = F.transform(present, lambda e: e["w"] * (effective(count(body, e["t"])) + 3 * count(head, e["t"])))
+    raw, hits = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x), F.size(present)
     density = raw / F.sqrt(F.greatest(F.length(body), F.lit(100)))
     adjusted = density * (1 + F.least(hits, F.lit(8)) * 0.1)
     score = F.bround(F.least(adjusted / (adjusted + 8), F.lit(1.0)), 3)
@@ -148,7 +149,8 @@ def relevance(title: Column, body: Column, keywords: Column, terms: dict[str, in
 
 
 def amounts(body: Column) -> Column:
-    """T21x: array of (value in ten thousands, raw, context) within 0.5 and 10 million."""
+    """T21x: array of (value in ten thousands, raw, context) within 0.5 and 10 million.
+    The context is greedy, as the results are defined: it takes all but the last digit of a whole number."""
     group = lambda k: F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(f"(?U){L.AMOUNT_IN_CONTEXT}"), F.lit(k))
     zipped = F.arrays_zip(group(1).alias("before"), group(2).alias("number"), group(3).alias("unit"), group(4).alias("after"))
     items = F.transform(
@@ -162,6 +164,14 @@ def amounts(body: Column) -> Column:
     return F.filter(items, lambda x: x["amount_value"].between(0.5, 10000000))
 
 
+def plain_amounts(body: Column) -> Column:
+    """As amounts() without context, which there may swallow leading digits: array of (value, raw)."""
+    group = lambda k: F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?U)(\d+(?:\.\d+)?)\s*(万元|亿元)"), F.lit(k))
+    zipped = F.arrays_zip(group(1).alias("number"), group(2).alias("unit"))
+    items = F.transform(zipped, lambda m: F.struct((m["number"].cast("double") * F.when(m["unit"] == "亿元", 10000.0).otherwise(1.0)).alias("amount_value"), F.concat(m["number"], m["unit"]).alias("amount_raw")))
+    return F.filter(items, lambda x: x["amount_value"].between(0.5, 10000000))
+
+
 def sectors(body: Column, words: list[str] = L.SECTORS) -> Column:
     """T22x: the words that occur, in the list's order."""
     return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.coalesce(body.contains(w), F.lit(False)))

@@ -66,10 +66,9 @@ def contained_passages(texts: DataFrame, passages: DataFrame, seed: int = 24) ->
     """Pairs (text_id, passage_id) where the whole passage occurs in the text. Passages are seeded by their first
     characters, which start behind a word boundary; each text emits its windows there."""
     head = passages.filter(F.length("passage") >= seed).select("passage_id", "passage", F.substring("passage", 1, seed).alias("gram"))
-    # Offsets of words: a passage can only start at one of them.
-    words = F.split(F.col("text"), r"(?<=\s)")
-    starts = F.aggregate(words, F.array(F.lit(1)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(w))))
-    grams = texts.select("text_id", "text", F.explode(F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("text"), p, F.lit(seed))))).alias("gram"))
+    # A passage can only start at a word: one regex pass takes the window at each.
+    starts = F.regexp_extract_all("text", F.lit(rf"(?s)(?:^|(?<=\s))(?=(.{{{seed}}}))"), F.lit(1))
+    grams = texts.select("text_id", "text", F.explode(F.array_distinct(starts)).alias("gram"))
     return grams.join(head, "gram").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
 
 

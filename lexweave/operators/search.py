@@ -24,7 +24,11 @@ def postings(docs: DataFrame, weights: dict[str, float] = WEIGHTS, body_cap: int
     source = lambda f: F.substring(f, 1, body_cap) if f == "body" else F.col(f)
     arrays = docs.select("doc_id", *[tokens(source(f)).alias(f) for f in fields])
     arrays = arrays.withColumn("dl", sum((F.size(f) for f in fields), F.lit(0)))
-    terms = F.concat(*[F.transform(f, lambda t, w=weights[f]: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f in fields])
+
+    def weighted(f: str) -> Column:
+        return F.transform(f, lambda t: F.struct(t.alias("term"), F.lit(weights[f]).alias("w")))
+
+    terms = F.concat(*[weighted(f) for f in fields])
     return arrays.select("doc_id", "dl", F.explode(terms).alias("t")).groupBy(F.col("t.term").alias("term"), "doc_id", "dl").agg(F.sum("t.w").alias("wtf"))
 
 
