@@ -80,3 +80,40 @@ DOCNUM_PUNCTUATION = r"[\s〔〕\[\]()（）【】\x{3000}]"
 NOT_ORGS = ["加入中国共产党", "参加革命工作", "加入共青团", "出生", "生于", "学习", "毕业", "学位", "硕士", "博士", "研究生", "本科", "结婚", "去世", "逝世", "退休"]
 POST_MARKERS = ["书记", "主任", "局长", "厅长", "部长", "委员", "代表", "省长", "市长", "县长", "主席", "委员长", "总理", "副"]
 ORG_SIGNS = ["省", "市", "县", "区", "部", "委", "局", "院", "署", "办", "厅", "处", "国务院", "中央", "全国"]
+
+# Career lines: three formats, what marks lines that aren't posts, and what ends an organisation's name.
+CAREER_DOTTED = r"^(\d{4})\.(\d{1,2})-(\d{4})\.(\d{1,2})\s+(.+)"
+CAREER_YEARS = r"^(\d{4})-(\d{4})年\s+(.+)"
+CAREER_PROSE = r"^(\d{4})年(?:(\d{1,2})月)?[，,、\s—-]*(?:任|担任|兼任|调任|转任|升任|当选|出任|改任|晋升|被任命|受命|就任|授予|选举|聘为|提拔|调入|进入|赴|到|在)?\s*(.+?)(?=[。；;$\n]|(?=\d{4}年))"
+NOT_POSTS = ["出生", "生于", "入学", "学习", "专业", "毕业", "学位", "结婚"]
+ORG_END = r"^(.+?(?:省|市|区|县|部|委|局|院|署|办|厅|处|总|公司|集团|银行|大学|学院|工厂|军区|政府))\s*(.+)"
+CAREER_WORDS = ["书记", "市长", "省长", "部长", "主任", "副"]
+PROVINCES = [
+    "北京", "天津", "上海", "重庆", "河北", "山西", "辽宁", "吉林", "黑龙江", "江苏", "浙江", "安徽", "福建", "江西", "山东", "河南",
+    "湖北", "湖南", "广东", "海南", "四川", "贵州", "云南", "陕西", "甘肃", "青海", "台湾", "内蒙古", "广西", "西藏", "宁夏", "新疆",
+]
+CENTRAL_ORGS = [
+    "国务院", "中央", "全国人大", "全国政协", "中共中央", "中纪委", "中央纪委", "中央军委", "国家", "最高人民法院", "最高人民检察院", "中国人民银行", "外交部", "国防部", "财政部", "商务部", "工信部",
+    "教育部", "科技部", "公安部", "民政部", "司法部", "人社部", "自然资源部", "生态环境部", "住建部", "交通运输部", "水利部", "农业农村部", "文旅部", "卫健委", "退役军人事务部", "应急管理部", "审计署", "国资委", "市场监管总局", "发改委", "统计局",
+]
+
+# English label -> level, tests in order.
+LABEL_LEVELS = [
+    ("central", ["state council", "ministry", "national", "cpc central", "people's bank", "commission", "sasac", "administration"]),
+    ("provincial", ["provincial", "province"]), ("municipal", ["municipal", "municipality"]), ("district", ["district"]), ("provincial", ["guangdong", "gd "]), ("municipal", ["shenzhen", "sz "]),
+]
+
+# Collections: focus tag by title (first match wins), words that speak of the country, tier by level.
+FOCUS_TAGS = [("储备", "reserve"), ("霍尔木兹", "hormuz"), ("中方|外交部|中国|中企", "chinaresp"), ("进口|采购|抢购|供应", "import")]
+CHINA_WORDS = ["中国", "中方", "外交部", "中企", "独立炼油", "人民币"]
+TIERS = {"central": "central", "provincial": "provincial", "municipal": "municipal", "district": "municipal"}
+
+# Frontier: which source reaches an issuer, first match wins.
+REACH = [
+    (r"^(国发|国办|国函|国转)", "State Council 国务院"), (r"^(中办|中发|中组|中宣|中编)", "CPC Central Committee"), (r"^财", "Ministry of Finance 财政部"), (r"^发改", "NDRC 发改委"), (r"^国卫", "National Health Commission 卫健委"),
+    (r"^(民发|民函)", "Ministry of Civil Affairs 民政部"), (r"^银发", "People's Bank of China 央行"), (r"^国市监", "SAMR 市场监管总局"), (r"^(国科|科技)", "MOST 科技部"), (r"^(环发|环办|生态环境)", "MEE 生态环境部"),
+    (r"^(人社部|人社)", "MOHRSS 人社部"), (r"^(国土资|自然资源|国土)", "MNR 自然资源部"), (r"^(工信|工业和信息化)", "MIIT 工信部"), (r"^(建|住建)", "MOHURD 住建部"),
+    (r"^黑政", "Heilongjiang 黑龙江"), (r"^(粤)", "Guangdong province 广东"), (r"^(穗|广州)", "Guangzhou 广州"), (r"^(深|深圳)", "Shenzhen 深圳"), (r"^(苏|苏州)", "Suzhou/Jiangsu 苏州"), (r"^(京)", "Beijing 北京"),
+    (r"^(沪)", "Shanghai 上海"), (r"^(渝)", "Chongqing 重庆"), (r"^(浙)", "Zhejiang 浙江"), (r"^(鄂|武)", "Hubei/Wuhan 湖北"),
+    (r"^(珠|佛|莞|惠|中山|中府|江门|江府|江自|肇|茂|湛|汕|潮|揭|云浮|云府|阳|韶|梅|清远|河源|河府)", "Other Guangdong cities"),
+]

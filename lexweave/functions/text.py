@@ -271,3 +271,14 @@ def llm_json(raw: Column, schema: str) -> Column:
 def clamp(value: Column, allowed: Iterable[str], otherwise: str) -> Column:
     """T43x: a value of a closed list."""
     return F.when(value.isin(list(allowed)), value).otherwise(F.lit(otherwise))
+
+
+def truncate_marked(snippet: Column, most: int = 150) -> Column:
+    """T27x: cut at `most` characters, but never inside a marked word; cut texts end in an ellipsis."""
+    s = F.coalesce(snippet, F.lit(""))
+    cut = F.substring(s, 1, most)
+    last = lambda tag: F.length(cut) - F.length(F.substring_index(cut, tag, -1))  # noqa: E731  0 without the tag
+    inside = last("<mark>") > last("</mark>")
+    end = F.locate("</mark>", F.substring(s, last("<mark>") + 1, F.length(s)))
+    whole = F.substring(s, F.lit(1), last("<mark>") + end + F.lit(len("</mark>") - 1))
+    return F.when(F.length(s) <= most, s).otherwise(F.concat(F.when(inside & (end > 0), whole).otherwise(cut), F.lit("…")))

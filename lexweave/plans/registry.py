@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import relations, reports, texts
+from lexweave.plans import more, relations, reports, texts
 
-BOOKS = [reports.BOOK, relations.BOOK, texts.BOOK]
+BOOKS = [reports.BOOK, relations.BOOK, texts.BOOK, more.BOOK]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
