@@ -28,7 +28,7 @@ LIVES = [(1, "1975.09-1978.12 深圳市宝安区区长\n（其间：在职学习
 
 @query("WITH " + values("e", "person_id, position, organization, province, admin_level, start_year, start_month, end_year, end_month", [
     (1, "宝安区区长", "深圳市", None, "district", 1975, 9, 1978, 12), (1, "办公厅副主任", "国务院", None, "central", 1980, None, 1985, None), (1, "委书记", "广东省", "广东", "provincial", 1990, 3, None, None),
-    (2, "浦东新区副区长", "上海市", "上海", "provincial", 2001, None, 2003, 5), (2, "上海市市长", "上海市市长", "上海", "provincial", 2003, 5, None, None),
+    (2, "浦东新区副区长", "上海市", "上海", "provincial", 2001, None, 2003, 5), (2, "市长", "上海市", "上海", "provincial", 2003, 5, None, None),
 ]) + " SELECT * FROM e")
 def t36_career_records(spark, sf):
     return K.career_records(spark.createDataFrame(LIVES, "person_id int, career_text string")).drop("pos", "raw_text")
