@@ -69,13 +69,20 @@ def update_columns(current: DataFrame, changes: DataFrame, key: str, columns: li
     return current.join(new, key, "left").select(*[F.coalesce(F.col(f"n_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns])
 
 
-def allocate_ids(current: DataFrame, incoming: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Ids after the largest one, in order. Numbers are counted in bins, so no task orders all rows."""
+def allocate_ids(current: DataFrame, incoming: DataFrame, id_col: str, order: list[str], bins: int = 32) -> DataFrame:
+    """Ids after the largest one, in order. Rows are numbered inside ranges whose bounds are rows of the table itself,
+    picked by a hash, so no task orders all rows and a task that runs again gives the same numbers."""
     top = current.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-    bins = incoming.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__bin", F.spark_partition_id()).withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy(*order)))
+    types = dict(incoming.dtypes)
+    picked = incoming.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(bins - 1).collect()
+    key = F.struct(*[F.col(c).alias(c) for c in order])
+    bounds = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in picked]
+    number = sum(((key >= b).cast("int") for b in bounds), F.lit(0))
+    binned = incoming.withColumn("__bin", number)
     before = F.sum("c").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
-    starts = bins.groupBy("__bin").agg(F.count("*").alias("c")).select("__bin", F.coalesce(before, F.lit(0)).alias("__s"))
-    return bins.join(F.broadcast(starts), "__bin").crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("top") + F.col("__s") + F.col("__n")).cast("long")).drop("__bin", "__n", "__s", "top")
+    starts = binned.groupBy("__bin").agg(F.count("*").alias("c")).select("__bin", F.coalesce(before, F.lit(0)).alias("__s"))
+    numbered = binned.withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy(*order)))
+    return numbered.join(F.broadcast(starts), "__bin").crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("top") + F.col("__s") + F.col("__n")).cast("long")).drop("__bin", "__n", "__s", "top")
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:

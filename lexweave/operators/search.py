@@ -12,9 +12,12 @@ BODY_CAP = 5000
 
 def tokens(text: Column) -> Column:
     """Q1/Q2: lower-case words; runs of CJK characters as bigrams (single characters stand alone)."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\x{4e00}-\x{9fff}]+|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"), F.lit(0))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fff}]+|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"), F.lit(0))
+    words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     grams = lambda w: F.when(w.rlike(r"^[\x{4e00}-\x{9fff}]{2,}$"), F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda p: F.substring(w, p, F.lit(2)))).otherwise(F.array(w))
-    return F.flatten(F.transform(runs, grams))
+    # Texts without CJK, and there each token would pass through the lambda, take the plain way.
+    return F.when(low.rlike(r"[\x{4e00}-\x{9fff}]"), F.flatten(F.transform(runs, grams))).otherwise(words)
 
 
 def postings(docs: DataFrame, weights: dict[str, float] = WEIGHTS, body_cap: int = BODY_CAP) -> DataFrame:

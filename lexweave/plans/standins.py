@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.session import spread
+
 LEVELS = {"1-URGENT": "central", "2-HIGH": "provincial", "3-MEDIUM": "municipal", "4-NOT SPECIFIED": "department"}
 
 
@@ -33,7 +35,9 @@ class Book:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver's table; those with whole texts, whose work is in the texts, use all cores."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def level_of(c: F.Column) -> F.Column:

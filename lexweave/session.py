@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps date arithmetic independent of the host; AQE splits skewed joins and merges small partitions.
 DEFAULTS = {
@@ -21,3 +21,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.config("spark.driver.memory", memory).getOrCreate()
+
+
+def spread(scanned: DataFrame) -> DataFrame:
+    """A table as it was read, dealt over all cores if it came in fewer parts than there are (one small file is one part).
+    Large tables have more parts than cores and stay as they are."""
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned.repartition(cores) if 0 < scanned.rdd.getNumPartitions() < cores else scanned
