@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.session import spread
+
 #: Rows in an Arrow batch of whole texts. Texts of 100 kB then make batches of 25 MB.
 TEXT_BATCH_ROWS = 256
 
@@ -42,4 +44,4 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
