@@ -40,7 +40,7 @@ from lexweave.llm.common import materialize, table, text_batches, text_or_empty
 CAPACITY, END_ID = 2048, 0
 GROUPS, SMALL_PARTS, PIVOTS = 32, (4, 3, 2), 1500
 #: Rows whose ranks are counted together.
-BIN_ROWS = 100_000
+BIN_ROWS = 10_000
 #: Characters of a text that are encoded at once; longer ones are cut where tokens never join.
 PORTION = 1 << 20
 CUT = re.compile(r"(?<=\S)(?=\s\S)")
