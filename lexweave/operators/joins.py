@@ -62,14 +62,23 @@ def resolve_titles(names: DataFrame, titles: DataFrame, least_title: int = 8, le
     return equal.unionByName(inside).unionByName(around)
 
 
-def contained_passages(texts: DataFrame, passages: DataFrame, seed: int = 24) -> DataFrame:
+def contained_passages(texts: DataFrame, passages: DataFrame, seed: int = 24, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Pairs (text_id, passage_id) where the whole passage occurs in the text. Passages are seeded by their first
-    characters, which start behind a word boundary; each text emits its windows there."""
+    characters; a passage can only start at a word, so each text emits its windows there.
+
+    Passages of at most broadcast_bytes in all are sent to every task, and texts are verified where they are read. More
+    are joined by the windows alone; candidates then meet their texts and passages again to be verified.
+    """
     head = passages.filter(F.length("passage") >= seed).select("passage_id", "passage", F.substring("passage", 1, seed).alias("gram"))
-    # A passage can only start at a word: one regex pass takes the window at each.
-    starts = F.regexp_extract_all("text", F.lit(rf"(?s)(?:^|(?<=\s))(?=(.{{{seed}}}))"), F.lit(1))
-    grams = texts.select("text_id", "text", F.explode(F.array_distinct(starts)).alias("gram"))
-    return grams.join(head, "gram").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
+    size = head.agg(F.coalesce(F.sum(F.octet_length("passage") + 64), F.lit(0)).alias("n")).first()["n"]
+    starts = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?:^|(?<=\s))(?=(.{{{seed}}}))"), F.lit(1)))
+    if size <= broadcast_bytes:
+        grams = texts.select("text_id", "text", F.explode(starts).alias("gram"))
+        return grams.join(F.broadcast(head), "gram").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
+    grams = texts.select("text_id", F.explode(starts).alias("gram"))
+    pairs = grams.join(head.select("gram", "passage_id"), "gram").select("text_id", "passage_id").distinct()
+    verified = pairs.join(texts.select("text_id", "text"), "text_id").join(passages.select("passage_id", "passage"), "passage_id")
+    return verified.filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
 
 
 def overlap_pairs(careers: DataFrame, group: str, person: str = "person_id", start: str = "start_m", end: str = "end_m", open_months: int = 48, least: int = 1) -> DataFrame:

@@ -81,3 +81,24 @@ def search(docs: DataFrame, index: DataFrame | None, query: str, query_terms: li
     if not found.isEmpty():
         return "trigram", found.withColumn("score", F.lit(0.0))
     return "like", like_search(docs, query, columns).withColumn("score", F.lit(0.0))
+
+
+def trigram_index(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Q9: (gram, doc_id) of all three-character windows of the columns in lower case."""
+    text = F.lower(F.concat_ws("\n", *columns))
+    grams = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+    return docs.select("doc_id", F.explode(grams).alias("gram"))
+
+
+def indexed_search(docs: DataFrame, index: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """Q6 by the index: documents that have all trigrams of the query are candidates, and are then verified."""
+    low = query.lower()
+    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    hits = index.filter(F.col("gram").isin(grams)).groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+    return trigram_search(docs.join(hits.select("doc_id"), "doc_id", "left_semi"), query, columns)
+
+
+def refresh_index(index: DataFrame, docs: DataFrame, changed: DataFrame, columns: list[str]) -> DataFrame:
+    """The index after documents changed: the rows of changed or deleted ids go, those of changed ids come anew."""
+    kept = index.join(changed.select("doc_id"), "doc_id", "left_anti")
+    return kept.unionByName(trigram_index(docs.join(changed.select("doc_id"), "doc_id", "left_semi"), columns).select(*kept.columns))

@@ -295,3 +295,60 @@ def s12_charsets(spark, sf):
 def y2_map_lookup(spark, sf):
     table = F.create_map(*[F.lit(x) for kv in L.LEVEL_WEIGHTS.items() for x in kv])
     return spark.createDataFrame([("central",), ("other",)], "k string").select("k", table[F.col("k")].alias("v"), F.coalesce(table[F.col("k")], F.lit(0.5)).alias("dflt"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(split_part(text, chr(10), 1)), 'tion ')")
+def q09_trigram_index(spark, sf):
+    from lexweave.operators import search as Q
+
+    docs = S.read(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    return Q.indexed_search(docs, Q.trigram_index(docs, ["title"]), "Tion ", ["title"]).select("doc_id")
+
+
+@query("SELECT doc_id, count(*) AS grams FROM (SELECT DISTINCT doc_id, substr(t, i, 3) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 1, 1))) AS i FROM (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t FROM documents))) GROUP BY 1")
+def c05_refreshed_index(spark, sf):
+    """An index that was built of other texts for every third document is right after its refresh."""
+    from lexweave.operators import search as Q
+
+    docs = S.read(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    stale = docs.withColumn("title", F.when(F.col("doc_id") % 3 == 0, F.lit("old text")).otherwise(F.col("title")))
+    fresh = Q.refresh_index(Q.trigram_index(stale, ["title"]), docs, docs.filter("doc_id % 3 = 0"), ["title"])
+    return fresh.groupBy("doc_id").agg(F.count("*").alias("grams"))
+
+
+@query("WITH " + values("e", "id, sid, name", [(1, "755001", "Office"), (2, None, None)]) + " SELECT * FROM e")
+def s17_embedded_config(spark, sf):
+    d = spark.createDataFrame([(1, '<script>var SITE = {"sid": "755001", "name": "Office"};</script>'), (2, "<p>none</p>")], "id int, html string")
+    c = files.embedded_config(F.col("html"), "SITE", "sid string, name string")
+    return d.select("id", c["sid"].alias("sid"), c["name"].alias("name"))
+
+
+@query("WITH " + values("e", "kind, value", [("url", "http://x/a"), ("url", "http://x/b"), ("record", "<a>1</a>"), ("link", "/p/1"), ("link", "/p/2")]) + " SELECT * FROM e")
+def s18_discovered_entries(spark, sf):
+    """Addresses of a sitemap, CDATA records of an interface, links of a list page."""
+    from lexweave.functions.html import links
+
+    xml = "<urlset><url><loc> http://x/a </loc></url><url><loc>http://x/b</loc></url></urlset>"
+    records, page = "<recordset><record><![CDATA[<a>1</a>]]></record></recordset>", '<a href="/p/1">1</a><a class="c" href="/p/2">2</a><a href="/p/1">again</a>'
+    d = spark.createDataFrame([(xml, records, page)], "x string, r string, p string")
+    kinds = [("url", files.sitemap_urls(F.col("x"))), ("record", files.cdata_records(F.col("r"))), ("link", F.array_distinct(links(F.col("p"))))]
+    return d.select(F.explode(F.flatten(F.array(*[F.transform(v, _tag(n)) for n, v in kinds]))).alias("e")).select("e.*")
+
+
+def _tag(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))
+
+
+ACQUIRED = [("https://www.gov.cn/a.htm", "2024年3月5日"), ("http://sz.gov.cn/b", "2024-03"), ("http://sz.gov.cn/held", "2024.1.1"), ("http://else.com/c", "soon")]
+
+
+@query("WITH " + values("e", "url, site_key, day", [("https://www.gov.cn/a.htm", "gov", "2024-03-05"), ("http://sz.gov.cn/b", "sz", "2024-03-01"), ("http://else.com/c", "other", None)]) + " SELECT url, site_key, CAST(day AS DATE) AS day FROM e")
+def k18_acquired_documents(spark, sf):
+    """Host to site, dates of several forms, addresses that are held drop out."""
+    from lexweave.functions.dates import parse_day
+    from lexweave.functions.html import host
+
+    d = spark.createDataFrame(ACQUIRED, "url string, raw string")
+    held = spark.createDataFrame([("http://sz.gov.cn/held",)], "url string")
+    site = F.when(host(F.col("url")) == "www.gov.cn", "gov").when(host(F.col("url")) == "sz.gov.cn", "sz").otherwise("other")
+    return C.insert_missing(held, d, ["url"]).select("url", site.alias("site_key"), parse_day(F.col("raw")).alias("day"))

@@ -44,6 +44,7 @@ def test_contained_passages_as_by_brute_force(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
     got = {tuple(r) for r in J.contained_passages(d, b).collect()}
+    assert got == {tuple(r) for r in J.contained_passages(d, b, broadcast_bytes=0).collect()}
     assert got == {(x["text_id"], y["passage_id"]) for x in d.collect() for y in b.collect() if y["passage"] in x["text"]}
 
 
@@ -112,3 +113,18 @@ def test_sources_and_sinks(spark, tmp_path):
     days = [f"2024-01-{d:02d}" for d in range(1, 32)]
     assert len(set(days) - set(sinks.expired(days))) == 11
     assert sinks.shrunk(100, 98) and not sinks.shrunk(100, 99)
+
+
+def test_batch_run_twice_changes_nothing(spark, tmp_path):
+    from lexweave.plans import batch
+    from lexweave.plans.texts import CORPUS, SITES4
+
+    docs = spark.createDataFrame(CORPUS, batch.DOCUMENTS)
+    sites = spark.createDataFrame(SITES4, "site_key string, admin_level string")
+    root = f"file://{tmp_path}/corpus"
+    first = batch.run_batch(spark, docs, sites, root, "r1")
+    assert (first["documents"], first["changes"], first["citations"], first["scores_written"]) == (6, 6, 6, 6)
+    again = batch.run_batch(spark, docs, sites, root, "r2")
+    assert (again["documents"], again["changes"], again["citations"], again["scores_written"], again["shrunk"]) == (6, 0, 6, 0, 0)
+    rank = {r["id"]: r["citation_rank"] for r in spark.read.parquet(f"{root}/scores").collect()}
+    assert rank[1] == 2.0 + 2.0 + 0.5 + 3.0 and rank[6] == 0.0
