@@ -195,7 +195,7 @@ def o8_stratified_sample(spark, sf):
 @query(with_(DOCUMENTS, SITES) + "SELECT id, CASE admin_level WHEN 'central' THEN 0 WHEN 'provincial' THEN 1 WHEN 'municipal' THEN 2 ELSE 9 END AS tier FROM docs JOIN sites USING (site_key) ORDER BY tier, day DESC, id LIMIT 30")
 def o9_authority_sort(spark, sf):
     rank = F.when(F.col("admin_level") == "central", 0).when(F.col("admin_level") == "provincial", 1).when(F.col("admin_level") == "municipal", 2).otherwise(9)
-    return S.documents(spark, sf).join(F.broadcast(S.sites(spark, sf)), "site_key").select("id", rank.alias("tier"), "day").orderBy("tier", F.desc("day"), "id").limit(30).select("id", "tier")
+    return S.documents(spark, sf).join(S.sites(spark, sf), "site_key").select("id", rank.alias("tier"), "day").orderBy("tier", F.desc("day"), "id").limit(30).select("id", "tier")
 
 
 @query("SELECT c_custkey AS id, 'c' AS kind FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier")

@@ -330,7 +330,7 @@ def k04_insert_missing(spark, sf):
     return C.insert_missing(old, new, ["id"]).select("id", "name")
 
 
-@query(with_(EDGES) + f", r AS (SELECT target_id AS id, sum(CAST({'CASE source_level ' + ' '.join(f'''WHEN '{k}' THEN {v}''' for k, v in L.LEVEL_WEIGHTS.items()) + ' ELSE 0.5 END'} AS DOUBLE)) AS rank FROM edges WHERE target_id IS NOT NULL GROUP BY 1) SELECT id, CAST(rank AS DOUBLE) AS rank FROM r WHERE id % 3 = 0 OR id % 4 = 0 AND id % 3 <> 0 AND false")
+@query(with_(EDGES) + f", r AS (SELECT target_id AS id, sum(CAST({'CASE source_level ' + ' '.join(f'''WHEN '{k}' THEN {v}''' for k, v in L.LEVEL_WEIGHTS.items()) + ' ELSE 0.5 END'} AS DOUBLE)) AS rank FROM edges WHERE target_id IS NOT NULL GROUP BY 1) SELECT id, CAST(rank AS DOUBLE) AS rank FROM r WHERE id % 3 = 0")
 def k06_diff_write(spark, sf):
     """Stored ranks differ for every third target; the others are off by less than the tolerance."""
     now = citation_rank(S.edges(spark, sf)).select(F.col("target_id").alias("id"), F.col("citation_rank").alias("rank"))

@@ -11,6 +11,7 @@ from lexweave.functions import text as T
 from lexweave.operators.citations import build_citations, canonical_refs, extract_references, known_abbreviations
 from lexweave.operators.joins import resolve_titles, two_keys
 from lexweave.plans import standins as S
+from lexweave.session import text_batches
 
 BOOK = S.Book()
 query = BOOK.query
@@ -376,12 +377,14 @@ def h10_soft_404(spark, sf):
 @query("SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS inner_html FROM pages")
 def h04_balanced_element(spark, sf):
     """A div with a marker, cut at its own closing tag."""
+    text_batches(spark)
     wrapped = F.concat(F.lit("<body><div><div class='main' id='x'>"), F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), F.lit("</div><div>after</div></div>"))
     return S.read(spark, sf, "pages").select("page_id", H.balanced_div(wrapped, F.lit("id='x'")).alias("inner_html"))
 
 
 @query()
 def h03_densest_block(spark, sf):
+    text_batches(spark)
     return S.read(spark, sf, "pages").select("page_id", H.densest_div(F.col("html")).alias("body"))
 
 
