@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: shared storage, Arrow batches and tables."""
+"""Helpers shared by the operators: shared storage, Arrow batches (text_batches, from the session's module) and tables."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.session import spread
+from lexweave.session import spread, text_batches
 
-#: Rows in an Arrow batch of whole texts. Texts of 100 kB then make batches of 25 MB.
-TEXT_BATCH_ROWS = 256
+__all__ = ["fresh_path", "materialize", "shared_dir", "table", "text_batches", "text_or_empty"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,11 +33,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the session, which count rows and not bytes, for columns of whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
