@@ -45,8 +45,8 @@ FORMATS = {
 }
 #: Words of names that hold secrets, in natural order.
 NAMES = "access_key api_key apikey auth auth_key client_secret credential credentials passphrase passwd password private_key pwd secret secret_key token".split()
-ASSIGNED = r"(?i:\b[\w.-]{0,40}?(?:" + "|".join(NAMES).replace("_", "[_-]?") + r")[\w-]{0,20})[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,512})"
-ALONE = r"(?<![\w/+=-])(?=[A-Za-z0-9+/_=-]{0,200}\d)(?=[A-Za-z0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{24,512}={0,2}(?![\w/+=-])"
+ASSIGNED = r"(?i:(?:" + "|".join(NAMES).replace("_", "[_-]?") + r")[\w-]{0,20})[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,})"
+ALONE = r"(?<![\w/+=-])(?=[A-Za-z0-9+/_=-]*\d)(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![\w/+=-])"
 CANDIDATE = re.compile("|".join([*(f"(?P<{k}>{p})" for k, p in FORMATS.items()), f"(?P<assigned>{ASSIGNED})", f"(?P<alone>{ALONE})"]))
 #: Texts without any of these hold no candidate: cheap to test before the pattern.
 HINT = re.compile(r"(?i:key|auth|credential|pass|pwd|secret|token)|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|[rs]k_|eyJ|[A-Za-z0-9+/_-]{24}")

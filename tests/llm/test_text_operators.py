@@ -182,6 +182,15 @@ def test_secrets_found_and_redacted(spark, docs, none, forest):
     assert out.columns == docs.columns and [r["text"] for r in out.filter("doc_id = 2").collect()] == [None]
 
 
+def test_long_secrets_are_covered_whole(forest):
+    rng = random.Random(1)
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(3000))
+    text = f"the {'long_' * 30}password={value} end"
+    assert [text[f.start : f.end] for f in secret_scan.candidates(text)] == [value]
+    if secret_scan.secrets_in(text, forest):
+        assert value[-20:] not in secret_scan.redacted(text, forest)
+
+
 def test_all_planted_secrets_are_found(spark, forest):
     import re
 
