@@ -167,6 +167,12 @@ def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np
     for w, n in zip(first_word[:-1].tolist(), words.tolist(), strict=True):
         for i in range(n):  # each word of the bucket with itself and the later ones
             right = np.arange(w + i, w + n)
+            if i:  # what is one group already needs no further link
+                mine = label[(w + i) * 64 : (w + n) * 64].reshape(-1, 64)
+                one = ((mine == mine[0, 0]) | ~used[(w + i) * 64 : (w + n) * 64].reshape(-1, 64)).all(axis=1)
+                right = right[~one] if one[0] else right
+                if not len(right):
+                    continue
             pending.append(np.stack([np.full(len(right), w + i), right]))
             held += len(right)
             if held >= STEP:
@@ -288,15 +294,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Wide fingerprints, for similarities that 64 bits can't tell apart
 
-LANES, MINIMA = 4, 6
-#: Bits of 256 that may differ for a similarity of 0.8: a Jaccard similarity of 0.8 is a cosine of 0.89, for which 39 bits
-#: are expected to differ; 46 lets nine in ten pairs of just that similarity in.
-WIDE_RADIUS = 46
+LANES, MINIMA = 16, 6
+#: Bits of 1024 that may differ for a similarity of 0.8: a Jaccard similarity of 0.8 is a cosine of 0.89, for which 155 bits
+#: are expected to differ, give or take 11; for 0.7 it is 197.
+WIDE_RADIUS = 180
 
 
-def _mix(h: np.ndarray, lane: int) -> np.ndarray:
-    """An independent hash for each lane, from one hash."""
-    x = h + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & 0xFFFFFFFFFFFFFFFF)
+def _mix(h: np.ndarray, lanes: int) -> np.ndarray:
+    """An independent hash for each lane, from one hash: (n,) -> (n, lanes)."""
+    x = h[:, None] + np.array([(0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(lanes)], "<u8")
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -307,12 +313,11 @@ def wide_fingerprint(text: str, words_each: int = 5, lanes: int = LANES, minima:
     ones, total, low = np.zeros(64 * lanes, np.int64), 0, np.full(minima, 2**64 - 1, "<u8")
     for h in shingle_hashes(text, words_each):
         total += len(h)
-        for lane in range(max(lanes, minima)):
-            mixed = _mix(h, lane)
-            if lane < lanes:
-                ones[64 * lane : 64 * lane + 64] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            if lane < minima:
-                low[lane] = min(low[lane], mixed.min())
+        for at in range(0, len(h), 255):  # so many bits are counted in bytes
+            mixed = _mix(h[at : at + 255], max(lanes, minima))
+            bits = np.unpackbits(np.ascontiguousarray(mixed[:, :lanes]).view(np.uint8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.uint8)
+            low = np.minimum(low, mixed[:, :minima].min(axis=0))
     return np.packbits(ones * 2 > total, bitorder="little").tobytes(), low.view("<i8").tolist()
 
 
@@ -320,7 +325,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, text_hash, component_id of every row, for texts whose shingles are similar to 0.8 or more.
 
     Two of six smallest hashes name a bucket; texts of similarity 0.8 share one in 99.8 % of cases. In a bucket wide
-    fingerprints are compared bit-sliced. A bucket above bucket_rows is dealt again by a third smallest hash (98 %).
+    fingerprints are compared bit-sliced. A bucket above bucket_rows is cut into parts of about that size, and each two
+    parts are compared in a task of their own, so its pairs are all compared as well.
     """
     text_batches(docs.sparkSession)
 
@@ -332,18 +338,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = text_or_empty(text_col)
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp binary, low array<long>")
     prints = materialize(prints, "wide-fingerprints")
-    distinct = materialize(prints.groupBy("fp", "low").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    distinct = prints.groupBy("fp", "low").agg(F.min("doc_id").alias("rep")).withColumn("tag", F.xxhash64("fp", "low"))
+    distinct = materialize(distinct, "distinct-fingerprints")
     pairs = [(a, b) for a in range(MINIMA) for b in range(a)]
-    major = F.array(*[F.struct(F.xxhash64(F.lit(n), F.col("low")[a], F.col("low")[b]).alias("major"), F.lit(n).alias("n")) for n, (a, b) in enumerate(pairs)])
-    keyed = distinct.filter("rep is not null").select(F.explode(major).alias("k"), "fp", "low", "rep").select("k.major", "k.n", "fp", "low", "rep")
+    major = F.array(*[F.xxhash64(F.lit(n), F.col("low")[a], F.col("low")[b]) for n, (a, b) in enumerate(pairs)])
+    # Fingerprints are long: they join only what shares a bucket with another.
+    keyed = distinct.filter("rep is not null").select(F.explode(major).alias("major"), "rep", "tag")
     counts = keyed.groupBy("major").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = keyed.join(counts, "major")
-    cold = shared.filter(F.col("size") <= bucket_rows).select("major", F.lit(-1).cast("long").alias("minor"), "fp", "rep")
-    third = F.lit(None).cast("array<long>")
-    for n, pair in enumerate(pairs):
-        third = F.when(F.col("n") == n, F.array(*[F.xxhash64(F.lit(c), F.col("low")[c]) for c in range(MINIMA) if c not in pair])).otherwise(third)
-    hot = shared.filter(F.col("size") > bucket_rows).select("major", F.explode(third).alias("minor"), "fp", "rep")
-    dealt = cold.unionByName(hot).repartition("major", "minor").sortWithinPartitions("major", "minor", "fp")
+    parts = F.ceil(F.col("size") / F.lit(bucket_rows)).cast("long")
+    shared = keyed.join(counts, "major").select("major", "rep", "tag", parts.alias("parts"), F.pmod(F.xxhash64("tag", "rep"), parts).alias("part"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != F.col("part"))
+    two = F.transform(others, lambda p: F.least(p, F.col("part")) * F.col("parts") + F.greatest(p, F.col("part")))
+    minor = F.when(F.col("parts") == 1, F.array(F.lit(-1).cast("long"))).otherwise(two)
+    dealt = shared.select("major", F.explode(minor).alias("minor"), "rep", "tag").join(distinct.select("fp", "rep", "tag"), ["rep", "tag"])
+    dealt = dealt.select("major", "minor", "fp", "rep").repartition("major", "minor").sortWithinPartitions("major", "minor", "fp")
     roots = components(dealt.mapInArrow(_linker(radius), "u long, v long"))
     named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", "low", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(named, ["fp", "low"]).select("doc_id", "text_hash", "component_id")

@@ -219,6 +219,23 @@ def test_bit_sliced_distances():
             at += n
 
 
+def test_groups_that_are_linked_already_lose_nothing():
+    rng = np.random.default_rng(3)
+    one, other = rng.integers(0, 2**63, (2, 1), dtype=np.uint64)
+    fps = np.array([(one if i < 200 or i % 50 else other) ^ np.uint64(1 << int(rng.integers(0, 63))) for i in range(400)])
+    ints = [(i, int(f[0])) for i, f in enumerate(fps)]
+    assert dict(enumerate(simhash.bucket_links(fps, np.array([400]), 2).tolist())) == component_of(ints, 2)
+
+
+def test_wide_distances_tell_similarities_apart():
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    distance = lambda a, b: (int.from_bytes(simhash.wide_fingerprint(" ".join(a))[0], "little") ^ int.from_bytes(simhash.wide_fingerprint(" ".join(b))[0], "little")).bit_count()
+    for extra, linked in ((60, True), (120, True), (400, False)):  # similarities 0.91, 0.83, 0.6
+        longer = words + [f"x{rng.randrange(10**6)}" for _ in range(extra)]
+        assert (distance(words, longer) <= simhash.WIDE_RADIUS) is linked
+
+
 def test_components_of_long_chains(spark):
     chain = [(i + 1, i) for i in range(60)] + [(101, 100), (102, 100), (103, 102)]
     random.Random(1).shuffle(chain)
