@@ -141,8 +141,28 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             return
 
 
-def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """fps (n, lanes): buckets of the given sizes, one after another -> for each position the smallest linked position of its bucket."""
+def _merge_verified(label: np.ndarray, i: np.ndarray, j: np.ndarray, same: Callable[[int, int], bool]) -> None:
+    """_merge of those pairs that same() confirms. Each group tries a few of its pairs with smaller labels a round, twice as
+    many in the next; pairs that other links connect by then need no test. No other pair is left out."""
+    tries = 1
+    while True:
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return
+        larger = np.maximum(label[i], label[j])
+        order = np.argsort(larger, kind="stable")
+        i, j, larger = i[order], j[order], larger[order]
+        new = np.concatenate([[True], larger[1:] != larger[:-1]])
+        take = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0)) < tries
+        good = np.fromiter((same(a, b) for a, b in zip(i[take].tolist(), j[take].tolist(), strict=True)), bool)
+        _merge(label, i[take][good], j[take][good])
+        i, j, tries = i[~take], j[~take], tries * 2
+
+
+def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, same: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """fps (n, lanes): buckets of the given sizes, one after another -> for each position the smallest linked position of its
+    bucket. With same, pairs of positions within the radius are links only if it says so."""
     words = -(-sizes // 64)
     first_word = np.concatenate([[0], np.cumsum(words)])
     lane = np.arange(len(fps)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -152,6 +172,8 @@ def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np
     planes, queries = planes_of(padded), padded.reshape(-1, 64, fps.shape[1])
     valid = np.packbits(used.reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0]
     label = np.arange(len(padded))
+    back = np.full(len(padded), -1)
+    back[place] = np.arange(len(fps))
 
     def compare(left: np.ndarray, right: np.ndarray) -> None:
         bits = near(planes, queries[left], right, radius) & valid[right][:, None]
@@ -160,7 +182,11 @@ def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np
         if len(t):
             hit = np.unpackbits(bits[t, q].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, k = np.nonzero(hit)
-            _merge(label, left[t[row]] * 64 + q[row], right[t[row]] * 64 + k)
+            i, j = left[t[row]] * 64 + q[row], right[t[row]] * 64 + k
+            if same is None:
+                _merge(label, i, j)
+            else:
+                _merge_verified(label, i, j, lambda a, b: same(int(back[a]), int(back[b])))
 
     pending: list[np.ndarray] = []
     held = 0
@@ -183,12 +209,40 @@ def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np
     if pending:
         both = np.concatenate(pending, axis=1)
         compare(both[0], both[1])
-    back = np.full(len(padded), -1)
-    back[place] = np.arange(len(fps))
     return back[label[place]]
 
 
-def _linker(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def shingle_set(text: str, words_each: int) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, sorted."""
+    parts = list(shingle_hashes(text, words_each))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small):
+        return float(not len(large))
+    shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return shared / (len(a) + len(b) - shared)
+
+
+def _similar(texts: np.ndarray, words_each: int, similarity: float) -> Callable[[int, int], bool]:
+    """Whether the texts at two positions have the similarity; a text's shingles are made when first asked for."""
+    sets: dict[int, np.ndarray] = {}
+
+    def of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_set(texts[k], words_each)
+        return sets[k]
+
+    return lambda a, b: set_similarity(of(a), of(b)) >= similarity
+
+
+def _linker(radius: int, words_each: int = 0, similarity: float = 0.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """With words_each, rows have a text, and links are verified by the similarity of the texts' shingle sets."""
+    names = ["major", "minor", "fp", "rep", *(["text"] if words_each else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket. Whole buckets are compared; the last one of a batch waits for the next."""
         held: list[np.ndarray] | None = None
@@ -200,12 +254,13 @@ def _linker(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             return np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(values), -1)
 
         def work(columns: list[np.ndarray]) -> pa.RecordBatch:
-            major, minor, fp, rep = columns
+            major, minor, fp, rep = columns[:4]
             new = np.flatnonzero(np.concatenate([[True], (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])]))
             sizes = np.diff(np.concatenate([new, [len(fp)]]))
             keep = np.repeat(sizes > 1, sizes)
             fp, rep, sizes = fp[keep], rep[keep], sizes[sizes > 1]
-            root = bucket_links(fp, sizes, radius) if len(fp) else np.zeros(0, np.int64)
+            same = _similar(columns[4][keep], words_each, similarity) if words_each else None
+            root = bucket_links(fp, sizes, radius, same) if len(fp) else np.zeros(0, np.int64)
             linked = np.flatnonzero(root != np.arange(len(fp)))
             a, b = rep[linked], rep[root[linked]]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
@@ -213,7 +268,7 @@ def _linker(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [column(batch[c]) if c == "fp" else batch[c].to_numpy() for c in ("major", "minor", "fp", "rep")]
+            now = [column(batch[c]) if c == "fp" else batch[c].to_numpy(zero_copy_only=False) for c in names]
             now = now if held is None else [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
@@ -295,9 +350,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Wide fingerprints, for similarities that 64 bits can't tell apart
 
 LANES, MINIMA = 16, 6
-#: Bits of 1024 that may differ for a similarity of 0.8: a Jaccard similarity of 0.8 is a cosine of 0.89, for which 155 bits
-#: are expected to differ, give or take 11; for 0.7 it is 197.
-WIDE_RADIUS = 180
+#: Bits of 1024 that may differ in candidates: a Jaccard similarity of 0.8 is a cosine of 0.89, for which 155 bits are
+#: expected to differ, give or take 11; for 0.7 it is 197.
+WIDE_RADIUS = 200
+#: Sets of few shingles differ in more bits at the same similarity: 4 of 5 shingles in 192, give or take 12.5. Texts of up to
+#: SHORT shingles are compared among themselves at this radius as well.
+SHORT_RADIUS, SHORT = 256, 80
+#: Least share of common shingles, of all shingles of two texts, that makes a link.
+SIMILARITY = 0.8
+#: Bytes of text in a bucket before it is cut into parts.
+BUCKET_BYTES = 64 << 20
 
 
 def _mix(h: np.ndarray, lanes: int) -> np.ndarray:
@@ -321,11 +383,12 @@ def wide_fingerprint(text: str, words_each: int = 5, lanes: int = LANES, minima:
     return np.packbits(ones * 2 > total, bitorder="little").tobytes(), low.view("<i8").tolist()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, text_hash, component_id of every row, for texts whose shingles are similar to 0.8 or more.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, component_id of every row; links are pairs of texts whose sets of shingles have the similarity.
 
     Two of six smallest hashes name a bucket; texts of similarity 0.8 share one in 99.8 % of cases. In a bucket wide
-    fingerprints are compared bit-sliced. A bucket above bucket_rows is cut into parts of about that size, and each two
+    fingerprints are compared bit-sliced, and pairs within the radius (short texts: the larger of it and SHORT_RADIUS) are
+    verified by their texts' shingle sets before they link. A bucket above bucket_rows or BUCKET_BYTES of text is cut into parts of about that size, and each two
     parts are compared in a task of their own, so its pairs are all compared as well.
     """
     text_batches(docs.sparkSession)
@@ -333,28 +396,40 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [wide_fingerprint(t.as_py(), words_each) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array([f for f, _ in made], pa.binary()), pa.array([m for _, m in made], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "low"])
+            sets = [shingle_set(t.as_py(), words_each) for t in b["text"]]
+            digests = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], digests, pa.array([f for f, _ in made], pa.binary()), pa.array([m for _, m in made], pa.list_(pa.int64())), pa.array([len(s) <= SHORT for s in sets]), b["bytes"]], names=["doc_id", "text_hash", "shingles", "fp", "low", "short", "bytes"])
 
     text = text_or_empty(text_col)
-    prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp binary, low array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    prints = texts.withColumn("bytes", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, text_hash long, shingles binary, fp binary, low array<long>, short boolean, bytes long")
     prints = materialize(prints, "wide-fingerprints")
-    distinct = prints.groupBy("fp", "low").agg(F.min("doc_id").alias("rep")).withColumn("tag", F.xxhash64("fp", "low"))
+    # Texts with the same set of shingles are one; the row with the smallest id stands for it.
+    one = F.min_by(F.struct("text_hash", "fp", "low", "short", "bytes"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    distinct = prints.groupBy("shingles").agg(F.min("doc_id").alias("rep"), one.alias("x")).select("shingles", "rep", "x.*")
     distinct = materialize(distinct, "distinct-fingerprints")
     pairs = [(a, b) for a in range(MINIMA) for b in range(a)]
     major = F.array(*[F.xxhash64(F.lit(n), F.col("low")[a], F.col("low")[b]) for n, (a, b) in enumerate(pairs)])
-    # Fingerprints are long: they join only what shares a bucket with another.
-    keyed = distinct.filter("rep is not null").select(F.explode(major).alias("major"), "rep", "tag")
-    counts = keyed.groupBy("major").agg(F.count("*").alias("size")).filter("size > 1")
-    parts = F.ceil(F.col("size") / F.lit(bucket_rows)).cast("long")
-    shared = keyed.join(counts, "major").select("major", "rep", "tag", parts.alias("parts"), F.pmod(F.xxhash64("tag", "rep"), parts).alias("part"))
+    # Fingerprints and texts are long: they join only what shares a bucket with another.
+    keyed = distinct.filter("rep is not null").select(F.explode(major).alias("major"), "rep", "text_hash", "bytes")
+    counts = keyed.groupBy("major").agg(F.count("*").alias("size"), F.sum("bytes").alias("total")).filter("size > 1")
+    parts = F.least("size", F.greatest(F.ceil(F.col("size") / F.lit(bucket_rows)), F.ceil(F.col("total") / F.lit(BUCKET_BYTES)))).cast("long")
+    shared = keyed.join(counts, "major").select("major", "rep", "text_hash", parts.alias("parts"), F.pmod(F.xxhash64("text_hash", "rep"), parts).alias("part"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != F.col("part"))
     two = F.transform(others, lambda p: F.least(p, F.col("part")) * F.col("parts") + F.greatest(p, F.col("part")))
     minor = F.when(F.col("parts") == 1, F.array(F.lit(-1).cast("long"))).otherwise(two)
-    dealt = shared.select("major", F.explode(minor).alias("minor"), "rep", "tag").join(distinct.select("fp", "rep", "tag"), ["rep", "tag"])
-    dealt = dealt.select("major", "minor", "fp", "rep").repartition("major", "minor").sortWithinPartitions("major", "minor", "fp")
-    roots = components(dealt.mapInArrow(_linker(radius), "u long, v long"))
-    named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", "low", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, ["fp", "low"]).select("doc_id", "text_hash", "component_id")
+    dealt = shared.select("major", F.explode(minor).alias("minor"), "rep", "text_hash").join(distinct.select("fp", "short", "rep", "text_hash"), ["rep", "text_hash"])
+    held = texts.filter("doc_id is not null").withColumnRenamed("doc_id", "rep").groupBy("rep", "text_hash").agg(F.first("text").alias("text"))
+    dealt = dealt.join(held, ["rep", "text_hash"])
+    short = dealt.filter("short")
+
+    def found(rows: DataFrame, within: int) -> DataFrame:
+        rows = rows.select("major", "minor", "fp", "rep", "text").repartition("major", "minor").sortWithinPartitions("major", "minor", "fp")
+        return rows.mapInArrow(_linker(within, words_each, similarity), "u long, v long")
+
+    roots = components(found(dealt, radius).unionByName(found(short, max(radius, SHORT_RADIUS))))
+    named = distinct.join(roots, distinct.rep == roots.node, "left").select("shingles", F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(named, "shingles").select("doc_id", "text_hash", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

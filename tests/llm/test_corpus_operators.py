@@ -260,6 +260,59 @@ def test_similar_documents(spark):
         assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def shingles_of(text, n=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def components_by_sets(rows, least=0.8):
+    parent, sets = {i: i for i, _ in rows}, [(i, shingles_of(t)) for i, t in rows]
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and len(x & y) >= least * len(x | y) - 1e-9:
+                i, j = find(a), find(b)
+                parent[max(i, j)] = min(i, j)
+    return {i: find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("bucket_rows", [20_000, 3])
+def test_links_are_verified_around_the_threshold(spark, bucket_rows):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for group in range(16):  # a text with 76 to 100 new words after its 304 has a similarity of 0.8 to 0.75
+        words = fresh(304)
+        rows.append((10 * group, " ".join(words)))
+        rows += [(10 * group + j, " ".join(words + fresh(extra))) for j, extra in enumerate((70, 75, 76, 84, 92, 100), 1)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), bucket_rows=bucket_rows).collect()}
+    assert got == components_by_sets(rows)
+
+
+def test_short_texts_of_the_threshold_link(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for group in range(60):  # four shingles against the same and one more: 0.8
+        words = fresh(8)
+        rows += [(2 * group, " ".join(words)), (2 * group + 1, " ".join(words + fresh(1)))]
+    distance = lambda a, b: (int.from_bytes(simhash.wide_fingerprint(a)[0], "little") ^ int.from_bytes(simhash.wide_fingerprint(b)[0], "little")).bit_count()
+    apart = [distance(a[1], b[1]) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert max(apart) > simhash.WIDE_RADIUS and max(apart) <= simhash.SHORT_RADIUS
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = sum(got[i] == got[i + 1] for i in range(0, 120, 2))
+    assert linked >= 59 and all(got[i] == i for i in range(0, 120, 2))  # minima name the buckets: 99.8 %
+
+
+def test_failed_pairs_hide_no_verified_link():
+    fps = np.zeros((200, 1), np.uint64)
+    root = simhash.bucket_links(fps, np.array([200]), 2, same=lambda a, b: a % 3 == b % 3)
+    assert root.tolist() == [i % 3 for i in range(200)]
+
+
 # Packing
 
 
