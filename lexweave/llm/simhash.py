@@ -371,16 +371,19 @@ def _mix(h: np.ndarray, lanes: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: str, words_each: int = 5, lanes: int = LANES, minima: int = MINIMA) -> tuple[bytes, list[int]]:
-    """64 * lanes majority bits, and the smallest hash of the shingles for each of several hash functions."""
-    ones, total, low = np.zeros(64 * lanes, np.int64), 0, np.full(minima, 2**64 - 1, "<u8")
-    for h in shingle_hashes(text, words_each):
-        total += len(h)
-        for at in range(0, len(h), 255):  # so many bits are counted in bytes
-            mixed = _mix(h[at : at + 255], max(lanes, minima))
-            bits = np.unpackbits(np.ascontiguousarray(mixed[:, :lanes]).view(np.uint8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.uint8)
-            low = np.minimum(low, mixed[:, :minima].min(axis=0))
-    return np.packbits(ones * 2 > total, bitorder="little").tobytes(), low.view("<i8").tolist()
+    """64 * lanes majority bits of the distinct shingles of the whole text, and the smallest hash of them for each of several
+    hash functions. How often a shingle occurs doesn't count."""
+    return wide_fingerprint_of(shingle_set(text, words_each), lanes, minima)
+
+
+def wide_fingerprint_of(shingles: np.ndarray, lanes: int = LANES, minima: int = MINIMA) -> tuple[bytes, list[int]]:
+    ones, low = np.zeros(64 * lanes, np.int64), np.full(minima, 2**64 - 1, "<u8")
+    for at in range(0, len(shingles), 255):  # so many bits are counted in bytes
+        mixed = _mix(shingles[at : at + 255], max(lanes, minima))
+        bits = np.unpackbits(np.ascontiguousarray(mixed[:, :lanes]).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+        low = np.minimum(low, mixed[:, :minima].min(axis=0))
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").tobytes(), low.view("<i8").tolist()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS, similarity: float = SIMILARITY) -> DataFrame:
@@ -395,8 +398,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [wide_fingerprint(t.as_py(), words_each) for t in b["text"]]
             sets = [shingle_set(t.as_py(), words_each) for t in b["text"]]
+            made = [wide_fingerprint_of(s) for s in sets]
             digests = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], digests, pa.array([f for f, _ in made], pa.binary()), pa.array([m for _, m in made], pa.list_(pa.int64())), pa.array([len(s) <= SHORT for s in sets]), b["bytes"]], names=["doc_id", "text_hash", "shingles", "fp", "low", "short", "bytes"])
 

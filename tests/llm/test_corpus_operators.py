@@ -307,6 +307,16 @@ def test_short_texts_of_the_threshold_link(spark):
     assert linked >= 59 and all(got[i] == i for i in range(0, 120, 2))  # minima name the buckets: 99.8 %
 
 
+def test_repeated_lines_count_once(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    words, line, menu = fresh(204), fresh(20), fresh(30)
+    rows = [(1, " ".join(words)), (2, " ".join(words + line * 30))]
+    rows += [(k, " ".join(menu * 60 + fresh(40))) for k in range(10, 40)]  # one repeated menu, different bodies
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_by_sets(rows) and got[2] == 1
+
+
 def test_failed_pairs_hide_no_verified_link():
     fps = np.zeros((200, 1), np.uint64)
     root = simhash.bucket_links(fps, np.array([200]), 2, same=lambda a, b: a % 3 == b % 3)
