@@ -46,10 +46,10 @@ def _words(text: bytes) -> Iterator[list[bytes]]:
         end = min(len(text), at + WINDOW)
         if end < len(text):
             cut = max(text.rfind(bytes([c]), at, end) for c in BLANKS)
-            if cut < 0:  # a word longer than the window
+            if cut <= at:  # a word longer than the window, perhaps after a blank
                 following = [x for c in BLANKS if (x := text.find(bytes([c]), end)) >= 0]
                 cut = min(following, default=len(text))
-            end = cut if cut > at else end
+            end = cut
         yield text[at:end].split()
         at = end if end == len(text) else end + 1
 

@@ -204,6 +204,13 @@ def test_simhash_cases(docs, none, monkeypatch):
     assert simhash.fingerprint(text) == want == simhash.fingerprint("  " + text + "\n")
 
 
+def test_long_words_after_blanks_stay_whole(monkeypatch):
+    monkeypatch.setattr(simhash, "WINDOW", 100)
+    for text in (" " + "x" * 250, "  " + "x" * 250 + " y", "a b " + "x" * 99 + " " + "y" * 300 + "\nz"):
+        assert [w for run in simhash._words(text.encode()) for w in run] == text.encode().split()
+        assert simhash.fingerprint(text) == print_of(text)
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, (30, 4), dtype=np.uint64)
