@@ -1,13 +1,14 @@
 """Secret scans: candidate patterns, then a random forest that removes false positives.
 
-Candidates are values of known token formats, key blocks, values assigned to names that speak of secrets, and values that
-stand alone and are long and mixed. Each becomes numbers: its length, its character transitions, how much of it is made of
-dictionary words, the name before it, the path or file it stands in, and the neighbouring words. A random forest trained
-from labelled findings gives the share of trees that take it for a secret.
+Candidates are values of known token formats, key blocks, passwords in addresses, values assigned to names that speak of
+secrets, and values that are long and mixed and stand alone or after any name. Each becomes numbers: its length, its
+character transitions, how much of it is made of dictionary words, the name before it, the path or file it stands in, and
+the neighbouring words. A random forest trained from labelled findings gives the share of trees that take it for a secret.
 
 Without findings of the user's own, training uses generated ones (labelled_findings), whose rule and seed are fixed.
 
-Defined cases: a null text counts as empty. Overlapping candidates: the one that starts first, then the longest, counts.
+Defined cases: a null text counts as empty. Overlapping candidates: the one that starts first, then the longest, counts;
+if the forest rejects it, candidates inside it are looked at.
 Whole texts are scanned, however long. Repeated rows give repeated findings; other columns are ignored by scan() and
 kept as they are by redact(); an empty table gives an empty result.
 """
@@ -41,15 +42,18 @@ FORMATS = {
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe_key": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "key_block": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]{20,}-----END [A-Z ]*PRIVATE KEY-----",
+    "key_block": r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----(?:BEGIN|END) )){20,}+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----",
 }
 #: Words of names that hold secrets, in natural order.
 NAMES = "access_key api_key apikey auth auth_key client_secret credential credentials passphrase passwd password private_key pwd secret secret_key token".split()
-ASSIGNED = r"(?i:(?:" + "|".join(NAMES).replace("_", "[_-]?") + r")[\w-]{0,20})[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,})"
-ALONE = r"(?<![\w/+=-])(?=[A-Za-z0-9+/_=-]*\d)(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![\w/+=-])"
-CANDIDATE = re.compile("|".join([*(f"(?P<{k}>{p})" for k, p in FORMATS.items()), f"(?P<assigned>{ASSIGNED})", f"(?P<alone>{ALONE})"]))
+ASSIGNED = r"(?i:(?:" + "|".join(NAMES).replace("_", "[_-]?") + r")[\w-]{0,20})[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"'`]?(?P<value>[^\s\"'`<>,;]{6,})"
+#: The password in scheme://user:password@host.
+ADDRESS = r"(?<=:)//[^\s/@:\"'`<>]*:(?P<password>[^\s/\"'`<>]+)@(?=[\w\[])"
+ALONE = r"(?<![\w/+-])(?=[A-Za-z0-9+/_=-]*\d)(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![\w/+=-])"
+KNOWN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMATS.items()))
+CANDIDATE = re.compile("|".join([KNOWN.pattern, f"(?P<address>{ADDRESS})", f"(?P<assigned>{ASSIGNED})", f"(?P<alone>{ALONE})"]))
 #: Texts without any of these hold no candidate: cheap to test before the pattern.
-HINT = re.compile(r"(?i:key|auth|credential|pass|pwd|secret|token)|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|[rs]k_|eyJ|[A-Za-z0-9+/_-]{24}")
+HINT = re.compile(r"(?i:key|auth|credential|pass|pwd|secret|token)|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|[rs]k_|eyJ|[A-Za-z0-9+/_-]{24}|://[^\s/@:]*:[^\s/]+@")
 PLACEHOLDERS = "example sample changeme change_me placeholder your xxxx dummy test todo none null undefined redacted password secret default 1234 abcd insert fake".split()
 #: Short dictionary for coverage: frequent words and identifier parts.
 DICTIONARY = frozenset(
@@ -75,18 +79,30 @@ class Finding(NamedTuple):
 
 def candidates(text: str) -> list[Finding]:
     """Candidate values in order; of overlapping ones the first."""
-    found = []
-    if HINT.search(text):
-        for m in CANDIDATE.finditer(text):
-            kind = m.lastgroup
-            start, end = m.span()
-            if kind == "assigned" or m["assigned"]:
-                kind = "assigned"
-                start, end = next(m.span(k) for k in range(m.re.groups, 0, -1) if m.span(k) != m.span("assigned") and m.span(k)[0] >= 0)
-                value = text[start:end]
-                kind = next((k for k, p in FORMATS.items() if re.fullmatch(p, value)), kind)
-            found.append(Finding(start, end, kind))
-    return found
+    return list(_search(text, 0, len(text))) if HINT.search(text) else []
+
+
+def _search(text: str, at: int, until: int, pattern: re.Pattern = CANDIDATE) -> Iterator[Finding]:
+    """Candidates in a part of the text."""
+    while m := pattern.search(text, at, until):
+        kind = m.lastgroup
+        start, end = m.span({"assigned": "value", "address": "password"}.get(kind, 0))
+        if kind == "assigned":
+            value = text[start:end]
+            kind = next((k for k, p in FORMATS.items() if re.fullmatch(p, value)), kind)
+            block = text.find("-----BEGIN", start, end)
+            if block >= 0 and (known := KNOWN.match(text, block)):  # it goes on after the value's first blank
+                kind, start, end = known.lastgroup, *known.span()
+        yield Finding(start, end, kind)
+        at = max(m.end(), end)
+
+
+def _inside(text: str, f: Finding) -> list[Finding]:
+    """Candidates in the value of another one."""
+    found = list(_search(text, f.start, f.end)) if f.kind == "assigned" else [f]
+    if [g[:2] for g in found] == [f[:2]]:  # nothing smaller but a known format
+        found = list(_search(text, f.start, f.end, KNOWN))
+    return [g for g in found if g[:2] != f[:2]]
 
 
 def _kinds(value: str) -> list[int]:
@@ -122,7 +138,7 @@ def numbers(text: str, f: Finding) -> list[float]:
         math.log(n), entropy, *share, len(counts) / n, changes / max(n - 1, 1), mixed / max(n - 1, 1), longest / n,
         float(all(c in string.hexdigits for c in value)), float(UUID.search(value) is not None), sum(c in "aeiouAEIOU" for c in value) / n,
         sum(map(len, known)) / n, max(map(len, parts), default=0) / n, len(parts), float(any(p in low for p in PLACEHOLDERS)), steps,
-        float(f.kind in FORMATS), float(name is not None), float(name is not None and any(x.replace("_", "") in re.sub(r"[_-]", "", name[1].lower()) for x in NAMES)),
+        float(f.kind in FORMATS), float(name is not None), float(f.kind == "address" or name is not None and any(x.replace("_", "") in re.sub(r"[_-]", "", name[1].lower()) for x in NAMES)),
         float(before[-1:] in ("'", '"', "`") and bool(before)), float(value[:1] in "$%{<(" or value.endswith(")") or "process.env" in low or "(" in value), float(PATHS.search(before[-60:] + "\n" + after[:20]) is not None),
         len(QUIET.findall(before[-50:])), len(LOUD.findall(before[-50:])), sum(map(str.isalpha, near)) / max(len(near), 1),
     ]
@@ -243,11 +259,17 @@ def train(findings: list[tuple[str, int, int, str, int]] | None = None) -> Rando
 
 
 def secrets_in(text: str, forest: RandomForest, threshold: float = THRESHOLD) -> list[tuple[Finding, float]]:
-    found = candidates(text)
-    if not found:
-        return []
-    shares = forest.share(np.array([numbers(text, f) for f in found]))
-    return [(f, float(s)) for f, s in zip(found, shares, strict=True) if s >= threshold]
+    found, kept = candidates(text), []
+    while found:
+        shares = forest.share(np.array([numbers(text, f) for f in found]))
+        kept += [(f, float(s)) for f, s in zip(found, shares, strict=True) if s >= threshold]
+        found = [g for f, s in zip(found, shares, strict=True) if s < threshold for g in _inside(text, f)]
+    out, at = [], 0
+    for f, s in sorted(kept):
+        if f.start >= at:
+            out.append((f, s))
+            at = f.end
+    return out
 
 
 def scan(docs: DataFrame, forest: RandomForest, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
