@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from lexweave.session import text_batches
+
 
 def prefix_rule_join(rows: DataFrame, key: str, rules: DataFrame, rule_key: str = "rule", value: str = "value", exact: str = "exact", otherwise: str = "other") -> DataFrame:
     """The value of the rule that equals the key, else of the longest prefix rule, else otherwise.
@@ -62,21 +69,58 @@ def resolve_titles(names: DataFrame, titles: DataFrame, least_title: int = 8, le
     return equal.unionByName(inside).unionByName(around)
 
 
+#: Characters of a text whose windows are made at once.
+BLOCK = 4096
+
+
+def _finder(found: list[tuple], seed: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """found: (passage_id, passage) pairs -> a function of batches (text_id, text) that gives the pairs of ids."""
+    heads: dict[int, dict[str, list[tuple]]] = {}
+    for i, passage in found:
+        k = min(len(passage), seed)
+        heads.setdefault(k, {}).setdefault(passage[:k], []).append((i, passage))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, ids = [], []
+            for row, value in enumerate(b["text"]):
+                if (text := value.as_py()) is None:
+                    continue
+                hits = set()
+                for k, table in heads.items():
+                    for at in range(len(text) - k + 1 if k else 1):
+                        if (head := text[at : at + k]) in table:
+                            hits.update(i for i, passage in table[head] if text.startswith(passage, at))
+                rows += [row] * len(hits)
+                ids += hits
+            yield pa.RecordBatch.from_arrays([b["text_id"].take(pa.array(rows, pa.int64())), pa.array(ids, id_type)], names=["text_id", "passage_id"])
+
+    return run
+
+
 def contained_passages(texts: DataFrame, passages: DataFrame, seed: int = 24, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """Pairs (text_id, passage_id) where the whole passage occurs in the text. Passages are seeded by their first
-    characters; a passage can only start at a word, so each text emits its windows there.
+    """Pairs (text_id, passage_id) where the whole passage occurs in the text, wherever it starts and however short it is.
+    Passages are seeded by their first characters, shorter ones by all of theirs, and looked up at every character of a text.
 
     Passages of at most broadcast_bytes in all are sent to every task, and texts are verified where they are read. More
-    are joined by the windows alone; candidates then meet their texts and passages again to be verified.
+    are joined by hashes of the windows alone; candidates then meet their texts and passages again to be verified.
     """
-    head = passages.filter(F.length("passage") >= seed).select("passage_id", "passage", F.substring("passage", 1, seed).alias("gram"))
-    size = head.agg(F.coalesce(F.sum(F.octet_length("passage") + 64), F.lit(0)).alias("n")).first()["n"]
-    starts = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?:^|(?<=\s))(?=(.{{{seed}}}))"), F.lit(1)))
+    some = passages.filter("passage is not null")
+    size = some.agg(F.coalesce(F.sum(F.octet_length("passage") + 64), F.lit(0)).alias("n")).first()["n"]
+    types = {c: df.schema[c].dataType for df, c in ((texts, "text_id"), (passages, "passage_id"))}
     if size <= broadcast_bytes:
-        grams = texts.select("text_id", "text", F.explode(starts).alias("gram"))
-        return grams.join(F.broadcast(head), "gram").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
-    grams = texts.select("text_id", F.explode(starts).alias("gram"))
-    pairs = grams.join(head.select("gram", "passage_id"), "gram").select("text_id", "passage_id").distinct()
+        text_batches(texts.sparkSession)
+        find = _finder([tuple(r) for r in some.select("passage_id", "passage").distinct().collect()], seed, to_arrow_type(types["passage_id"]))
+        schema = StructType([StructField(c, t) for c, t in types.items()])
+        return texts.select("text_id", "text").mapInArrow(find, schema).distinct()
+    head = some.withColumn("k", F.least(F.length("passage"), F.lit(seed))).select("passage_id", "k", F.xxhash64(F.substring(F.col("passage"), F.lit(1), F.col("k"))).alias("gram"))
+    grams = texts.select("text_id", F.lit(0).alias("k"), F.xxhash64(F.lit("")).alias("gram"))
+    for k in sorted(r["k"] for r in head.filter("k > 0").select("k").distinct().collect()):
+        width = F.lit(BLOCK + k - 1)
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(BLOCK)), lambda at: F.substring(F.col("text"), at, width))  # noqa: B023
+        windows = texts.select("text_id", F.explode(blocks).alias("block")).select("text_id", F.explode(F.regexp_extract_all("block", F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("w"))
+        grams = grams.unionByName(windows.select("text_id", F.lit(k).alias("k"), F.xxhash64("w").alias("gram")))
+    pairs = grams.join(head, ["k", "gram"]).select("text_id", "passage_id").distinct()
     verified = pairs.join(texts.select("text_id", "text"), "text_id").join(passages.select("passage_id", "passage"), "passage_id")
     return verified.filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators import changes as C
@@ -48,6 +49,25 @@ def test_contained_passages_as_by_brute_force(spark, sf_dir):
     assert got == {(x["text_id"], y["passage_id"]) for x in d.collect() for y in b.collect() if y["passage"] in x["text"]}
 
 
+def test_short_quoted_and_cjk_passages_are_found(spark):
+    long = "a passage of more than twenty-four characters"
+    cjk = "国务院关于加强数字政府建设的指导意见和深化改革的若干规定及实施细则"
+    texts = [(1, f'he said "{long}" (twice)'), (2, f"x-{long}"), (3, f"根据{cjk}第三条"), (4, "tiny 国发 text"), (5, ""), (6, None), (7, "y" * 4090 + long)]
+    passages = [(10, long), (11, cjk), (12, "国发"), (13, "t"), (14, ""), (15, None), (16, "absent"), (17, cjk[:24])]
+    d, p = spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(passages, "passage_id int, passage string")
+    want = {(i, j) for i, t in texts for j, q in passages if t is not None and q is not None and q in t}
+    for limit in (32 << 20, 0):
+        assert {tuple(r) for r in J.contained_passages(d, p, broadcast_bytes=limit).collect()} == want
+
+
+def test_deep_trees_are_closed_and_cycles_are_errors(spark):
+    chain = [(str(i), str(i - 1) if i else None) for i in range(31)]
+    got = {tuple(r) for r in G.closure(spark.createDataFrame(chain, "id string, parent_id string")).collect()}
+    assert got == {(str(a), str(n), n - a) for n in range(31) for a in range(n + 1)}
+    with pytest.raises(ValueError, match="cycle"):
+        G.closure(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "id string, parent_id string"))
+
+
 def test_snapshot_taken_twice_changes_nothing(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b ", "x")], "id int, name string, note string")
     new = spark.createDataFrame([(2, "b", "y"), (3, "c", "")], "id int, name string, note string")
