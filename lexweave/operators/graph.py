@@ -26,17 +26,21 @@ def cascade(edges: DataFrame) -> DataFrame:
     return down.join(up, F.col("d.target_id") == F.col("u.source_id")).select(F.col("d.source_id").alias("last"), F.col("d.target_id").alias("middle"), F.col("u.target_id").alias("first")).distinct()
 
 
-def closure(tree: DataFrame, max_depth: int = 20) -> DataFrame:
+def closure(tree: DataFrame) -> DataFrame:
     """(ancestor, node, depth) of a tree (id, parent_id), each node its own ancestor at depth 0. A round joins one level;
-    rounds end with the tree's depth."""
+    rounds end with the tree's depth. A cycle is an error."""
     step = tree.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     out, up = step, tree.filter("parent_id is not null").select(F.col("id").alias("ancestor"), F.col("parent_id").alias("above"))
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = step.join(up, "ancestor").select("node", F.col("above").alias("ancestor"), F.lit(depth).alias("depth"))
-        if step.isEmpty():
-            break
+        rows, back = step.agg(F.count("*"), F.count_if(F.col("node") == F.col("ancestor"))).first()
+        if not rows:
+            return out.select("ancestor", "node", "depth")
+        if back:
+            raise ValueError("the tree has a cycle")
         out = out.unionByName(step)
-    return out.select("ancestor", "node", "depth")
 
 
 def rollup(facts: DataFrame, key: str, tree: DataFrame, measures: list) -> DataFrame:
