@@ -4,7 +4,8 @@ Every DOM node gets its characters, tags, link characters and link tags. Its den
 logarithm that falls with the share of links; its sum is the sum of its children's densities. The node with the largest
 sum outside boilerplate marks the article. The smallest density on its path to the body is the threshold: siblings along
 the path belong to the text if they reach it or are titles. If the path passes an article or main element, that element is the text.
-Elements that are boilerplate by name (navigation, forms, adverts, comments, ...) never are, wherever they stand.
+Elements that are boilerplate by name (navigation, forms, adverts, comments, ...) never are, wherever they stand, unless they
+wrap the page's content (see _unwrap); density decides there. Hidden elements never are.
 
 Output: character references decoded, white space inside a block (br included) as one blank, blocks joined by newlines.
 
@@ -58,6 +59,7 @@ BOILERPLATE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social "
     "comment comments respond disqus newsletter subscribe subscription signup login paywall pagination pager skip".split()
 )
+TALK_WORDS = frozenset("comment comments respond disqus".split())
 #: Words that are boilerplate outside an article only: inside, they may hold its title.
 OUTER_WORDS = frozenset("header masthead topbar banner footer foot legal copyright alert search".split())
 
@@ -70,7 +72,9 @@ class Page:
     """Nodes as parallel lists, in page order; node 0 is the page."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.boiler, self.inside = ["#page"], [0], [False], [False]
+        self.tag, self.parent, self.inside = ["#page"], [0], [False]
+        #: Boilerplate by the element's own name; hidden by its own attributes; comments; an article or main element.
+        self.marked, self.hidden, self.talk, self.core = [False], [False], [False], [""]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [1], [0], [0]
         self.linked = [False]
         #: (node, text) in page order; (-1, "") where a block begins or ends.
@@ -81,21 +85,27 @@ class Page:
     def _open(self, tag: str, source: str, parent: int) -> int:
         node = len(self.tag)
         inside = self.inside[parent] or tag in ("article", "main")
-        boiler = self.boiler[parent] or tag in BOILERPLATE_TAGS or tag == "header" and not inside
+        core = tag if tag in ("article", "main") else ""
+        boiler, hidden, talk = tag in BOILERPLATE_TAGS or tag == "header" and not inside, False, False
         linked = self.linked[parent] or tag == "a"
         if "=" in source or "hidden" in source:
             a = _attributes(source)
             role = a.get("role", "").lower()
-            inside = inside or role in ("main", "article") or a.get("itemprop") == "articleBody"
+            core = core or (role if role in ("main", "article") else "article" if a.get("itemprop") == "articleBody" else "")
+            inside = inside or bool(core)
             words = {w.lower() for w in WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
             if tag not in ("html", "body") and tag not in ("article", "main"):
                 boiler = boiler or role in BOILERPLATE_ROLES or bool(words & BOILERPLATE_WORDS) or not inside and bool(words & OUTER_WORDS)
             elif tag == "article":
                 boiler = boiler or bool(words & BOILERPLATE_WORDS & {"comment", "comments", "ad", "ads", "advert", "advertisement", "related", "recommended", "sponsored", "promo"})
-            boiler = boiler or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?=\s|/|$)", ATTRIBUTE.sub(" ", source)) is not None
+            talk = bool(words & TALK_WORDS)
+            hidden = a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?=\s|/|$)", ATTRIBUTE.sub(" ", source)) is not None
         self.tag.append(tag)
         self.parent.append(parent)
-        self.boiler.append(boiler)
+        self.marked.append(boiler)
+        self.hidden.append(hidden)
+        self.talk.append(talk)
+        self.core.append(core)
         self.inside.append(inside)
         self.linked.append(linked)
         self.chars.append(0)
@@ -169,6 +179,10 @@ class Page:
             self.tags[up] += self.tags[node]
             self.link_chars[up] += self.link_chars[node]
             self.link_tags[up] += self.link_tags[node]
+        self._unwrap()
+        self.boiler = [m or h for m, h in zip(self.marked, self.hidden, strict=True)]
+        for node in range(1, len(self.tag)):
+            self.boiler[node] = self.boiler[node] or self.boiler[self.parent[node]]
         whole = max(self.chars[0], 1)
         share = self.link_chars[0] / whole
         self.density = [self._density(c, t, lc, lt, share) for c, t, lc, lt in zip(self.chars, self.tags, self.link_chars, self.link_tags, strict=True)]
@@ -177,6 +191,44 @@ class Page:
             if not self.boiler[node]:
                 self.sums[self.parent[node]] += self.density[node]
 
+    def _unwrap(self) -> None:
+        """Take the mark from elements that wrap the content: those around the largest article or main element, if it is a
+        main element or larger than all text outside of marks, and those that hold more than half of the page's link-free
+        text, if less than a quarter of that (comments: nothing) is outside of marks."""
+        n = len(self.tag)
+        if not any(self.marked):
+            return
+        plain = [0] * n
+        for node, piece in self.items:
+            if node >= 0 and not self.linked[node]:
+                plain[node] += len(piece.strip())
+        free = plain[:]  # of these, not in marked elements below
+        for node in range(n - 1, 0, -1):
+            if not self.hidden[node]:
+                plain[self.parent[node]] += plain[node]
+                free[self.parent[node]] += 0 if self.marked[node] else free[node]
+        shown = [True] * n
+        for node in range(1, n):
+            shown[node] = shown[self.parent[node]] and not self.hidden[node]
+        outside = free[0]
+        for node in [i for i in range(n) if self.marked[i] and shown[i] and 2 * plain[i] > plain[0]]:
+            if outside * 4 >= plain[node] or self.talk[node] and outside:
+                break
+            self.marked[node] = False
+            outside += free[node]
+        cores = [i for i in range(n) if self.core[i] and shown[i] and not self.marked[i] and plain[i]]
+        if not cores:
+            return
+        main = [i for i in cores if self.core[i] == "main"]
+        best = max(main or cores, key=lambda i: (plain[i], -i))
+        around, up = [], self.parent[best]
+        while up:
+            around += [up] if self.marked[up] else []
+            up = self.parent[up]
+        if main or plain[best] > outside:
+            for node in around:
+                self.marked[node] = False
+
     @staticmethod
     def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
         if not chars:
