@@ -316,6 +316,32 @@ def c05_refreshed_index(spark, sf):
     return fresh.groupBy("doc_id").agg(F.count("*").alias("grams"))
 
 
+def _whole(spark, sf):
+    """Documents as title and body, which together are the whole text."""
+    end = F.instr("text", "\n")
+    body = F.when(end > 0, F.substr(F.col("text"), end + 1))
+    return S.read(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), body.alias("body"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion ')")
+def q09_whole_trigram_index(spark, sf):
+    from lexweave.operators import search as Q
+
+    docs = _whole(spark, sf)
+    return Q.indexed_search(docs, Q.trigram_index(docs, ["title", "body"]), "Tion ", ["title", "body"]).select("doc_id")
+
+
+@query("SELECT doc_id, count(*) AS grams FROM (SELECT DISTINCT doc_id, substr(t, i, 3) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 1, 1))) AS i FROM (SELECT doc_id, lower(text) AS t FROM documents))) GROUP BY 1")
+def c05_refreshed_whole_index(spark, sf):
+    """As c05_refreshed_index, of title and body."""
+    from lexweave.operators import search as Q
+
+    docs, columns = _whole(spark, sf), ["title", "body"]
+    stale = docs.withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.lit("old text")).otherwise(F.col("body")))
+    fresh = Q.refresh_index(Q.trigram_index(stale, columns), docs, docs.filter("doc_id % 3 = 0"), columns)
+    return fresh.groupBy("doc_id").agg(F.count("*").alias("grams"))
+
+
 @query("WITH " + values("e", "id, sid, name", [(1, "755001", "Office"), (2, None, None)]) + " SELECT * FROM e")
 def s17_embedded_config(spark, sf):
     d = spark.createDataFrame([(1, '<script>var SITE = {"sid": "755001", "name": "Office"};</script>'), (2, "<p>none</p>")], "id int, html string")

@@ -47,3 +47,8 @@ def test_queries_without_sql_give_rows(spark, sf_dir, name):
 
 def test_flagship(spark, sf_dir):
     assert registry.flagship(spark, sf_dir).count() > 0
+
+
+def test_whole_index_finds_what_first_lines_lack(spark, sf_dir):
+    found = {n: {r["doc_id"] for r in registry.queries()[n](spark, sf_dir).collect()} for n in ("q09_trigram_index", "q09_whole_trigram_index")}
+    assert found["q09_trigram_index"] < found["q09_whole_trigram_index"]
