@@ -106,28 +106,60 @@ def least_capacity(sizes, shards):
     return high
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_capacity_is_the_smallest(spark, monkeypatch, seed):
+def expected_loads(groups, shards):
+    """groups: key -> bytes. Loads of the groups that fill a shard alone, and the others' sizes in order."""
+    alone, total = [], sum(groups.values())
+    for key, size in sorted(groups.items(), key=lambda g: (-g[1], g[0])):
+        if shards - len(alone) > 1 and size * (shards - len(alone)) >= total:
+            alone.append(key)
+            total -= size
+        else:
+            break
+    return [groups[k] for k in sorted(alone)], [groups[k] for k in sorted(groups) if k not in alone]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_shards_are_near_equal(spark, monkeypatch, seed):
     monkeypatch.setattr(sharding, "FIRST_BITS", 3)
     monkeypatch.setattr(sharding, "STEP_BITS", 2)
     monkeypatch.setattr(sharding, "RANGE_LIMIT", 4 if seed % 2 else 2048)
     rng = random.Random(seed)
-    rows = [(i, "x" * rng.choice([1, 5, 50, 400 if seed > 1 else 20]) + str(rng.randint(0, 60))) for i in range(200)]
-    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 7)
-    keyed = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("key"), (F.octet_length("text") + 16).alias("size")).collect()
+    rows = [(i, "x" * rng.choice([1, 5, 50, 400 if seed > 1 else 20]) + str(rng.randint(0, 60))) for i in range(400)]
+    if seed == 4:  # a group of a third of all bytes, and one that fills a shard of what is left
+        rows += [(400 + i, "hot" * 30) for i in range(sum(len(t) + 16 for _, t in rows) // 2 // 106)] + [(9000 + i, "warm" * 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed, text_of = sharding.shard_documents(docs, 7), dict(rows)
     groups = Counter()
-    for r in keyed:
+    for r in docs.select(F.xxhash64("text").alias("key"), (F.octet_length("text") + 16).alias("size")).collect():
         groups[r["key"]] += r["size"]
     got = placed.collect()
     loads, shard_of = Counter(), {}
     for r in got:
         loads[r["shard"]] += r["size"]
-        assert shard_of.setdefault(rows[r["doc_id"]][1], r["shard"]) == r["shard"]
-    assert max(loads.values()) <= least_capacity([groups[k] for k in sorted(groups)], 7) and len(got) == 200 and set(loads) <= set(range(7))
+        assert shard_of.setdefault(text_of[r["doc_id"]], r["shard"]) == r["shard"]
+    alone, rest = expected_loads(groups, 7)
+    others = [loads[k] for k in range(len(alone), 7)]
+    assert [loads[k] for k in range(len(alone))] == alone and len(got) == len(rows) and set(loads) == set(range(7))
+    assert max(others) <= least_capacity(rest, len(others))
+    assert max(others) - min(others) <= max(rest) and (seed < 4 or len(alone) > 0)
     for s in loads:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+@pytest.mark.parametrize("seed", range(150))
+def test_cuts_under_the_smallest_capacity(seed):
+    rng = random.Random(seed)
+    shards = rng.randint(1, 20)
+    sizes = [rng.choice([1, 5, 20, 100]) * rng.randint(1, 5) for _ in range(rng.randint(shards, 200))]
+    ranges = sharding.Ranges([(i, 64, s, 1) for i, s in enumerate(sizes)], max(sizes))
+    capacity = ranges.bounds(shards)[1]
+    ends, open_ranges = ranges.cuts(capacity, shards)
+    edges = [0, *ends, sum(sizes)]
+    loads = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    assert capacity == least_capacity(sizes, shards) and not open_ranges and set(edges) <= set(ranges.sums)
+    assert max(loads) <= capacity and max(abs(x - sum(sizes) / shards) for x in loads) <= max(sizes)
+
+
 def test_sharding_cases(docs, none):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == len(ROWS)
