@@ -8,6 +8,11 @@ pair at a time. Both agree unless a merge makes a pair with a smaller rank than
 model is read, and a word does only the leftmost of them in a round. Blank runs, whose pieces share one score, are cut as
 that order does it, from the left.
 
+Words above LONG_WORD symbols (text without blanks) don't wait for their smallest rank: a pair is merged as soon as its rank
+is the smallest within as many symbols on either side as the longest piece has characters. No merge beyond them can reach the
+pair before, as the symbol that it would have to make is longer than any piece. Of equal ranks those are merged together
+that come after no merge within this window that makes a pair of a smaller or equal rank.
+
 Words are cached per worker up to CACHE_WORDS. Texts are handled in portions of PORTION characters.
 
 Defined cases: a null text counts as empty and has no ids. Characters outside the model become their bytes. U+2581 is
@@ -32,9 +37,13 @@ from lexweave.llm.common import table, text_batches, text_or_empty
 
 BLANK = "▁"
 CACHE_WORDS, CACHED_LENGTH, PORTION = 200_000, 64, 1 << 20
+LONG_WORD = 128
 NONE = np.int32(2**31 - 1)
 #: Symbols from here on are characters outside the model.
 FOREIGN = 1 << 20
+#: Symbols are smaller than 2**SHIFT; the last of them stands between words and makes no piece.
+SHIFT = 22
+BARRIER = (1 << SHIFT) - 1
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -77,7 +86,7 @@ class PieceModel:
                 kinds.append(entry.get(3, 1))
         normal = [i for i, k in enumerate(kinds) if k == 1]
         ids = {self.pieces[i]: i for i in normal}
-        self.bytes_ids = np.array([next((i for i, p in enumerate(self.pieces) if kinds[i] == 6 and p == f"<0x{b:02X}>"), 0) for b in range(256)])
+        self.bytes_ids = [next((i for i, p in enumerate(self.pieces) if kinds[i] == 6 and p == f"<0x{b:02X}>"), 0) for b in range(256)]
         # What an id decodes to; control pieces to nothing.
         self.surface = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(BLANK, " ").encode() if k == 1 else b"" for p, k in zip(self.pieces, kinds, strict=True)]
         self.text_of = [str(i).encode() for i in range(len(self.pieces))]
@@ -104,12 +113,13 @@ class PieceModel:
         joined = [rank_of[i] for i in normal if i not in runs.values() and len(self.pieces[i]) > 1]
         if len(set(joined)) != len(joined):
             raise ValueError("unsupported model: scores must be distinct")
+        self.reach = max((len(self.pieces[i]) for i in normal if i not in runs.values()), default=1)
         self.careful = np.zeros(len(self.pieces), bool)
         for a, b, rank, _ in made:
             for part in (a, b):
                 if part < FOREIGN and rank <= rank_of[part] and len(self.pieces[part]) > 1:
                     self.careful[part] = True
-        keys = np.array([(a << 21) + b for a, b, _, _ in made], np.int64)
+        keys = np.array([(a << SHIFT) + b for a, b, _, _ in made], np.int64)
         bucket = self._bucket(keys)
         order = np.argsort(bucket, kind="stable")
         place = np.arange(len(keys)) - np.searchsorted(bucket[order], bucket[order])
@@ -140,7 +150,7 @@ class PieceModel:
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes, or -1."""
-        keys = (a << 21) + b
+        keys = (a << SHIFT) + b
         bucket = self._bucket(keys)
         out = np.full(len(keys), -1, np.int32)
         for k in range(self.table.shape[1]):
@@ -151,6 +161,14 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words, whose blanks are written as blanks."""
         out: list[list[int]] = [[] for _ in words]
+        short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
+        if len(short) < len(words):
+            for k, found in zip(short, self.encode_words([words[k] for k in short]), strict=True):
+                out[k] = found
+            long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+            for k, found in zip(long, self.encode_long([words[k] for k in long]), strict=True):
+                out[k] = found
+            return out
         if not words:
             return out
         points = np.frombuffer("".join(words).replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -194,6 +212,55 @@ class PieceModel:
             made[stale] = self.pair(sym[stale], sym[stale + 1])
         return out
 
+    def encode_long(self, words: list[str]) -> list[list[int]]:
+        """Ids of long words, by rounds that merge every pair whose neighbourhood can't change before it is merged."""
+        sym = self.symbol[np.frombuffer("\0".join(words).replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), "<u4")]
+        sym[np.cumsum([len(w) + 1 for w in words[:-1]], dtype=np.int64) - 1] = BARRIER
+        made = self.pair(sym[:-1], sym[1:])
+        while (live := np.flatnonzero(made >= 0)).size:
+            rank = np.full(len(made), NONE)
+            rank[live] = self.rank[made[live]]
+            at = live[rank[live] == self._least_around(rank)[live]]
+            # Of overlapping pairs of one rank the first, third, ... are merged; all of a run must have the smallest rank.
+            first = np.concatenate([[True], np.diff(at) != 1])
+            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            cut = first & (at > 0) & (rank[np.maximum(at - 1, 0)] == rank[at])  # the run begins before the window
+            chosen = ((np.arange(len(at)) - run) % 2 == 0) & ~cut[run]
+            at = at[chosen]
+            # What a merge makes with its neighbours when all merges to its left are done and none to its right.
+            piece, r = made[at], rank[at]
+            before = np.where((at > 1) & np.isin(at - 2, at, assume_unique=True), made[np.maximum(at - 2, 0)], sym[np.maximum(at - 1, 0)])
+            left, right = self.pair(before.astype(np.int64), piece.astype(np.int64)), self.pair(piece.astype(np.int64), sym[np.minimum(at + 2, len(sym) - 1)])
+            left[at == 0], right[at + 2 >= len(sym)] = -1, -1
+            turns = (left >= 0) & (self.rank[left] <= r) | (right >= 0) & (self.rank[right] <= r)
+            if turns.any():  # what follows such a merge within reach has to wait
+                latest = np.maximum.accumulate(np.where(turns, at, -1 - 2 * self.reach))
+                latest = np.concatenate([[-1 - 2 * self.reach], latest[:-1]])
+                at = at[at - latest > self.reach + 1]
+            sym[at] = made[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            now = at - np.arange(len(at))
+            sym = sym[keep]
+            made = made[keep[:-1]][: len(sym) - 1]
+            stale = np.unique(np.concatenate([now, now[now > 0] - 1]))
+            stale = stale[stale < len(made)]
+            made[stale] = self.pair(sym[stale], sym[stale + 1])
+        ends = [*np.flatnonzero(sym == BARRIER).tolist(), len(sym)]
+        symbols = sym.tolist()
+        return [self._expand(symbols[a:b]) for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+
+    def _least_around(self, rank: np.ndarray) -> np.ndarray:
+        """The smallest rank within reach on either side of each pair, by doubling windows."""
+        reach = self.reach + 1
+        padded = np.concatenate([np.full(reach, NONE), rank, np.full(reach, NONE)])
+        size, least = 1, padded
+        while 2 * size <= 2 * reach + 1:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        rest = 2 * reach + 1 - size
+        return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+
     def _finish(self, sym: np.ndarray, word: np.ndarray, out: list[list[int]]) -> None:
         ends = np.concatenate([np.flatnonzero(word[1:] != word[:-1]) + 1, [len(sym)]]).tolist()
         odd = (sym >= FOREIGN) | (sym == self.blank)
@@ -205,7 +272,7 @@ class PieceModel:
 
     def _expand(self, symbols: list[int]) -> list[int]:
         """Blank runs to their longest pieces, characters outside the model to bytes."""
-        out, blanks = [], 0
+        out, blanks, of = [], 0, self.bytes_ids
         for s in [*symbols, -1]:
             if s == self.blank and s < FOREIGN:
                 blanks += 1
@@ -215,7 +282,7 @@ class PieceModel:
                 out += [self.runs[n] for n in self.cut.get(blanks % self.most, [])]
                 blanks = 0
             if s >= FOREIGN:
-                out += self.bytes_ids[list(chr(s - FOREIGN).encode("utf-8", "replace"))].tolist()
+                out += [of[x] for x in chr(s - FOREIGN).encode("utf-8", "replace")]
             elif s >= 0:
                 out.append(s)
         return out

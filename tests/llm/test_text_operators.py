@@ -288,6 +288,36 @@ def test_pieces_equal_the_library():
         assert model.decode(ids) == library.decode(ids), repr(c)
 
 
+def long_words():
+    rng, whole = random.Random(4), "thequickbrownfoxandtheirnationalheritageofinformation" * 40
+    yield from ("a" * 3000, "ab" * 1500, "the" * 1000, "=-" * 500 + "=" * 400, "日本語中文字" * 100, "0" * 1000, "http://" * 300, whole, "\U0010ffff" * 200 + "a" * 200, "x\0" * 200)
+    for _ in range(150):
+        n, letters = rng.choice([130, 200, 700]), rng.choice(["ab", "the", "thein", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "ABCabc012", "aeiounst.,", "éàüßñ中日abc", "=-_*#", "0123456789"])
+        yield "".join(rng.choice(letters) for _ in range(n))
+        yield "".join(rng.choice(["the", "th", "ing", "ation", "heit", "===", "000", "été", "in", "er"]) for _ in range(n // 2))
+        yield rng.choice(["abab", "thethe", "inging", "xyxyz", "ninni", "ana"]) * rng.randint(40, 200) + rng.choice(["", "x", "a"])
+
+
+def test_long_words_equal_the_library():
+    library, model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.load(pieces.model_path())
+    cases = list(long_words())
+    for c in [*cases, " ".join(cases), "  ".join(reversed(cases)), " ".join(w[:140] for w in cases) + " short words"]:
+        ids = model.encode(c)
+        assert ids == library.encode(c), repr(c[:80])
+        assert model.decode(ids) == library.decode(ids)
+
+
+def test_time_of_long_words_grows_with_their_length():
+    library, model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.load(pieces.model_path())
+    rng = random.Random(5)
+    for text in ("".join(rng.choice(["ther", "on", "ble", "tion", "an", "e", "ing"]) for _ in range(250_000))[:800_000], "a" * 800_000, "ab" * 400_000):
+        began = time.perf_counter()
+        want = library.encode(text)
+        middle = time.perf_counter()
+        assert model.encode(text) == want
+        assert time.perf_counter() - middle < 10 * (middle - began) + 3
+
+
 def test_piece_digests(spark, docs, none, monkeypatch):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     got = {r["doc_id"]: r for r in pieces.digest_documents(docs, pieces.model_path()).collect()}
