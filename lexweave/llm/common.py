@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from lexweave.session import spread, text_batches
 
-__all__ = ["fresh_path", "materialize", "shared_dir", "table", "text_batches", "text_or_empty"]
+__all__ = ["fresh_path", "materialize", "remove_intermediates", "shared_dir", "table", "text_batches", "text_or_empty"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset (tests); it
+    gets a new folder of the machine then, and elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder there that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='lexweave-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,6 +36,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete what was written between steps. Results that are still lazy read it, so call this when they have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexweave")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
