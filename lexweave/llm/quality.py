@@ -171,10 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b["id"], b["y"], pa.array(list(_statistics_of(b["text"])), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(run, "id long, y double, x array<double>").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"], r["x"]))
-    # A document that comes several times counts once.
-    rows = [r for k, r in enumerate(rows) if not k or r["id"] != rows[k - 1]["id"]]
+    found = texts.join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(run, "id long, y double, x array<double>")
+    # An id that comes several times counts once, with the smallest statistics; at most sample_rows rows reach the driver.
+    rows = sorted(found.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect(), key=lambda r: r["id"])
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in rows]))
 
 

@@ -101,6 +101,13 @@ def test_quality_on_held_out_rows(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_repeated_ids_train_as_one(spark):
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    once, often = quality.train(d, labels), quality.train(d.unionByName(d).unionByName(d), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(once, often, strict=True))
+
+
 def test_quality_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(docs, quality.train(docs, empty)).collect()} == {0.5}
