@@ -1,12 +1,15 @@
 """Exact dedup through a minimal perfect hash over known distinct digests.
 
-The history is a table (digest, winner, group_size). It is split into shards of bounded size; each shard becomes one
+The history is a table (digest, winner, group_size); digests that come several times are added up first (smallest winner,
+sum of the sizes), and rows without a 32-byte digest are left out. It is split into shards of bounded size; each shard becomes one
 row that holds a minimal perfect hash whose slots carry the full digest, the winner's id and the group's size. Rows look
 their digest up in the shard's index and compare all 32 bytes, so a digest that isn't in the history is never taken
 for one that is. Rows without a match are grouped among themselves: of their digests only those that repeat get an index.
 
+Shards hold SHARD_DIGESTS digests each, up to MAX_SHARDS shards (16 billion digests); with more they grow in proportion.
+
 Defined cases: a null text counts as empty. A null id never wins against another id; if all ids of a group are null,
-the winner is null. Rows that repeat both id and text are one document: the first of them is kept, the rest are not.
+the winner is null. Rows that repeat both id and text are one document: one of them is kept, the rest are not.
 Other columns of the input are ignored, whatever their names. An empty table gives an empty result.
 """
 
@@ -37,7 +40,9 @@ def normalized(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalized(text_or_empty(text_col)), 256)).alias("digest"))
+    """doc_id, digest and a number of the row, which is fixed once this is written."""
+    digest = F.unhex(F.sha2(normalized(text_or_empty(text_col)), 256))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest")).withColumn("row", F.monotonically_increasing_id())
 
 
 # The hash itself: levels of bit arrays, as in BBHash. A key is placed in the first level where no other key has its bit.
@@ -102,12 +107,13 @@ def _fixed(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
 
 
-def pack_shard(digest: np.ndarray, winner: np.ndarray, known: np.ndarray, size: np.ndarray) -> bytes:
+def pack_shard(digest: np.ndarray, winner: np.ndarray, known: np.ndarray, size: np.ndarray, row: np.ndarray) -> bytes:
+    """The hash of distinct digests, and what their slots hold: digest, winner's id (unless it is null), group size, winner's row."""
     mph = MinimalPerfectHash.build(digest)
     order = np.empty(len(digest), np.int64)
     order[mph.slots(digest)] = np.arange(len(digest))
     out = io.BytesIO()
-    np.savez(out, sizes=mph.sizes, bits=np.packbits(mph.bits), n_bits=len(mph.bits), rest=mph.rest, digest=digest[order], winner=winner[order], known=known[order], size=size[order])
+    np.savez(out, sizes=mph.sizes, bits=np.packbits(mph.bits), n_bits=len(mph.bits), rest=mph.rest, digest=digest[order], winner=winner[order], known=known[order], size=size[order], row=row[order])
     return out.getvalue()
 
 
@@ -115,8 +121,7 @@ class Shard:
     def __init__(self, blob: bytes):
         z = np.load(io.BytesIO(blob))
         self.mph = MinimalPerfectHash(z["sizes"], np.unpackbits(z["bits"], count=int(z["n_bits"])).astype(bool), z["rest"])
-        self.digest, self.winner, self.known, self.size = (z[k] for k in ("digest", "winner", "known", "size"))
-        self.claimed = np.zeros(len(self.digest), bool)
+        self.digest, self.winner, self.known, self.size, self.row = (z[k] for k in ("digest", "winner", "known", "size", "row"))
 
     def lookup(self, digest: np.ndarray) -> np.ndarray:
         """Slot of each digest after comparing all its bytes, or -1."""
@@ -129,7 +134,7 @@ class Shard:
 
 def _build(group: pa.Table) -> pa.Table:
     winner = group["winner"].combine_chunks()
-    blob = pack_shard(_fixed(group["digest"]), winner.fill_null(0).to_numpy(zero_copy_only=False), winner.is_valid().to_numpy(zero_copy_only=False), group["group_size"].to_numpy())
+    blob = pack_shard(_fixed(group["digest"]), winner.fill_null(0).to_numpy(zero_copy_only=False), winner.is_valid().to_numpy(zero_copy_only=False), group["group_size"].to_numpy(), group["row"].to_numpy())
     return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
 
@@ -147,28 +152,25 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not part.num_rows:
                 continue
             n = part.num_rows
-            ids, digest = part["doc_id"], _fixed(part["digest"])
+            digest = _fixed(part["digest"])
             slot = np.full(n, -1, np.int64)
             mine = part["shard"].to_numpy() == owner
             if shard is not None and mine.any():
                 slot[mine] = shard.lookup(digest[mine])
-            member, kept = slot >= 0, np.zeros(n, bool)
+            member, wins = slot >= 0, np.zeros(n, bool)
             winner, known, size = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, np.int64)
             if member.any():
                 s = slot[member]
                 winner[member], known[member], size[member] = shard.winner[s], shard.known[s], shard.size[s]
-                has_id, own = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-                for i in np.flatnonzero(member & (has_id == known) & (~has_id | (own == winner))):
-                    kept[i] = not shard.claimed[slot[i]]
-                    shard.claimed[slot[i]] = True
-            yield pa.RecordBatch.from_arrays([ids, part["digest"], pa.array(member), pa.array(winner, pa.int64(), mask=~known), pa.array(size, pa.int64(), mask=~member), pa.array(kept)], names=["doc_id", "digest", "member", "winner", "group_size", "claims"])
+                wins[member] = shard.row[s] == part["row"].to_numpy()[member]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["digest"], part["row"], pa.array(member), pa.array(winner, pa.int64(), mask=~known), pa.array(size, pa.int64(), mask=~member), pa.array(wins)], names=["doc_id", "digest", "row", "member", "winner", "group_size", "wins"])
 
 
 def lookup(rows: DataFrame, history: DataFrame) -> DataFrame:
-    """rows (doc_id, digest) against history (digest, winner, group_size), both written tables.
+    """rows (doc_id, digest, row) against history (distinct digest, winner, group_size, row of the winner), both written tables.
 
-    A shard that many rows ask for is copied, and its rows are dealt over the copies by id, so a digest that a third
-    of all rows share doesn't land in one task.
+    A shard that many rows ask for is copied, and its rows are dealt over the copies by their numbers, so a digest or an id
+    that a third of all rows share doesn't land in one task.
     """
     spark = rows.sparkSession
     shards = max(1, min(MAX_SHARDS, -(-history.count() // SHARD_DIGESTS)))
@@ -176,15 +178,21 @@ def lookup(rows: DataFrame, history: DataFrame) -> DataFrame:
     asked = {r["shard"]: r["n"] for r in rows.groupBy(shard.alias("shard")).agg(F.count("*").alias("n")).collect()}
     salts = spark.createDataFrame([(s, -(-asked.get(s, 0) // SHARD_ROWS) or 1) for s in range(shards)], "shard int, salts int")
     index = history.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard int, blob binary")
-    copies = index.join(F.broadcast(salts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), "blob")
-    asking = rows.withColumn("shard", shard).join(F.broadcast(salts), "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "digest", F.lit(None).cast("binary").alias("blob"))
+    copies = index.join(F.broadcast(salts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("row"), "blob")
+    asking = rows.withColumn("shard", shard).join(F.broadcast(salts), "shard").select("shard", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "digest", "row", F.lit(None).cast("binary").alias("blob"))
     dealt = copies.unionByName(asking).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return dealt.mapInArrow(_probe, "doc_id long, digest binary, member boolean, winner long, group_size long, claims boolean")
+    return dealt.mapInArrow(_probe, "doc_id long, digest binary, row long, member boolean, winner long, group_size long, wins boolean")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """Winner and size of each distinct digest; counted before the shuffle, so hot digests cost one row a task."""
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count("*").alias("group_size"))
+    """Winner, its row and size of each distinct digest; counted before the shuffle, so hot digests cost one row a task."""
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    return rows.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count("*").alias("group_size"), first.alias("row"))
+
+
+def distinct_history(history: DataFrame) -> DataFrame:
+    known = history.select(F.col("digest").cast("binary").alias("digest"), F.col("winner").cast("long").alias("winner"), F.coalesce(F.col("group_size").cast("long"), F.lit(1)).alias("group_size"))
+    return known.filter(F.octet_length("digest") == 32).groupBy("digest").agg(F.min("winner").alias("winner"), F.sum("group_size").alias("group_size"), F.lit(-1).cast("long").alias("row"))
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,16 +205,16 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     sha = F.lower(F.hex("digest")).alias("text_sha256")
     repeats = None
     if history is not None:
-        found = materialize(lookup(rows, history), "history-hits")
+        found = materialize(lookup(rows, materialize(distinct_history(history), "history")), "history-hits")
         repeats = found.filter("member").select("doc_id", F.col("winner").alias("keep_id"), "group_size", F.lit(False).alias("kept"), sha, F.lit(True).alias("seen_before"))
-        rows = found.filter("not member").select("doc_id", "digest")
+        rows = found.filter("not member").select("doc_id", "digest", "row")
     repeating = materialize(grouped(rows).filter("group_size > 1"), "repeating")
     found = lookup(rows, repeating)
     out = found.select(
         "doc_id",
         F.when(F.col("member"), F.col("winner")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (~F.col("member") | F.col("claims")).alias("kept"),
+        (~F.col("member") | F.col("wins")).alias("kept"),
         sha,
         F.lit(False).alias("seen_before"),
     )

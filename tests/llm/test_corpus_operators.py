@@ -1,6 +1,7 @@
 """Operators that compare documents, and the pipeline."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -43,6 +44,28 @@ def test_same_rows_as_sql(spark, name):
     assert sorted((tuple(r[k] for k in sorted(df.columns)) for r in df.collect()), key=repr) == want
 
 
+def test_only_local_masters_write_to_the_machine(spark, monkeypatch):
+    class Remote:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        fresh_path(Remote, "x")
+
+
+def test_intermediates_can_be_removed(spark, docs):
+    from lexweave.llm.common import materialize, remove_intermediates, shared_dir
+
+    materialize(docs, "some")
+    remove_intermediates(spark)
+    assert not os.path.exists(shared_dir(spark).removeprefix("file://") + "/lexweave")
+
+
 # Exact dedup
 
 
@@ -63,6 +86,24 @@ def test_exact_dedup_against_history(spark, docs):
     assert {(2, -3, False, True), (5, -3, False, True), (None, -3, False, True), (8, 8, True, False), (7, 7, True, False)} <= got
 
 
+def test_history_with_repeats_and_nulls(spark, docs):
+    digest = bytearray(hashlib.sha256(b"a b").digest())
+    rows = [(digest, -3, 10), (digest, -8, 5), (None, 1, 1), (bytearray(b"short"), 1, 1), (bytearray(hashlib.sha256(b"other").digest()), 4, None)]
+    history = spark.createDataFrame(rows, "digest binary, winner long, group_size long")
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["seen_before"]) for r in exact_dedup.exact_dedup(docs, history).collect())
+    want = [(2, -8, 15, False, True)] * 2 + [(5, -8, 15, False, True), (None, -8, 15, False, True), (8, 8, 2, True, False), (9, 8, 2, False, False), (4, 4, 1, True, False), (7, 7, 1, True, False), (None, None, 1, True, False)]
+    assert got == Counter(want)
+    none = spark.createDataFrame([], "digest binary, winner long, group_size long")
+    assert exact_dedup.exact_dedup(docs, none).filter("not seen_before").count() == len(ROWS)
+
+
+def test_null_and_repeated_ids_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 10)
+    rows = [(None, "hot")] * 120 + [(7, "again")] * 80 + [(None, "x")]
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(None, None, 120, True): 1, (None, None, 120, False): 119, (7, 7, 80, True): 1, (7, 7, 80, False): 79, (None, None, 1, True): 1})
+
+
 def test_hot_digest_is_dealt_over_copies(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 10)
     monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 5)
@@ -76,7 +117,7 @@ def test_hot_digest_is_dealt_over_copies(spark, monkeypatch):
 
 def test_hash_is_minimal_and_perfect():
     digest = np.frombuffer(b"".join(hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(5000)), np.uint8).reshape(-1, 32)
-    shard = exact_dedup.Shard(exact_dedup.pack_shard(digest[:4000], np.arange(4000), np.ones(4000, bool), np.ones(4000, np.int64)))
+    shard = exact_dedup.Shard(exact_dedup.pack_shard(digest[:4000], np.arange(4000), np.ones(4000, bool), np.ones(4000, np.int64), np.arange(4000)))
     slots = shard.lookup(digest)
     assert sorted(slots[:4000]) == list(range(4000)) and (slots[4000:] == -1).all() and (shard.winner[slots[:4000]] == np.arange(4000)).all()
     clash = digest[:1].copy()
