@@ -74,6 +74,74 @@ def test_sniffing_confirms_structure(spark):
     assert {r["id"]: len(r["embedded"]) for r in rows} == {1: 4, 2: 0}
 
 
+def plain_wave(data, at):
+    if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 12] != b"WAVE":
+        return None
+    end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+    here, seen = at + 12, set()
+    while end <= len(data) and here + 8 <= end:
+        size = struct.unpack_from("<I", data, here + 4)[0]
+        seen.add(data[here : here + 4])
+        here += 8 + size + (size & 1)
+    return end if end <= len(data) and here in (end, end + 1) and {b"fmt ", b"data"} <= seen else None
+
+
+def test_wave_chunks_as_by_plain_walks():
+    rng, found = random.Random(9), 0
+    for _ in range(600):
+        data = b""
+        for _ in range(rng.randint(3, 24)):  # from the end: files over what follows, chunks whole or not
+            size = rng.choice([0, 4, 8, 16])
+            chunk = rng.choice([b"fmt ", b"data", b"odd1"]) + struct.pack("<I", rng.choice([size, size, size - 1 if size else 0, size + 8])) + bytes(size)
+            data = (b"RIFF" + struct.pack("<I", 4 + rng.choice([len(data), rng.randint(0, len(data) + 1)])) + b"WAVE" if rng.random() < 0.3 else chunk) + data
+        want = {(i, e) for i in range(len(data)) if (e := plain_wave(data, i)) is not None}
+        assert {(s.start, s.end) for s in media.sniff(data) if s.media_type == "audio/wav"} == want
+        found += len(want)
+    assert found > 50
+
+
+def test_carving(spark):
+    data = b"noise " + png() + b" RIFF " + media.to_wave(b"in it " + gzip.compress(b"abc" * 99) + bytes(9)) + png()
+    found = media.carve(data)
+    assert [s.media_type for s, _ in found] == ["image/png", "audio/wav", "application/gzip", "image/png"]
+    assert found[0][1] == png() == found[3][1] and gzip.decompress(found[2][1]) == b"abc" * 99
+    rows = media.carve_column(spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"plain"))], "id long, b binary"), "id", "b").collect()
+    assert [(r["id"], r["start"], r["media_type"], bytes(r["media"])) for r in rows] == [(1, s.start, s.media_type, m) for s, m in found]
+
+
+def test_pdf_updates_belong_to_the_file():
+    first = b"%PDF-1.4\nbody\nstartxref\n9\n%%EOF"
+    both = first + b"\nmore\nstartxref\n40\n%%EOF"
+    assert media.sniff(both) == [media.Span(0, len(both), "application/pdf")]
+    assert [s.end - s.start for s in media.sniff(both + b" " + first)] == [len(both), len(first)]
+    assert media.sniff(b"%PDF-1.4 %%EOF startxref") == []
+
+
+def jpeg() -> bytes:
+    segment = lambda m, d: bytes([0xFF, m]) + struct.pack(">H", len(d) + 2) + d
+    return b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xC0, bytes(9)) + segment(0xDA, bytes(6)) + b"ab\xff\0cd\xff\xd1ef" + b"\xff\xd9"
+
+
+def gif() -> bytes:
+    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x21\xf9\x04" + bytes(4) + b"\0" + b"\x2c" + bytes(8) + b"\0\x02\x02\x44\x01\0\x3b"
+
+
+@pytest.mark.parametrize("make, kind", [(jpeg, "image/jpeg"), (gif, "image/gif"), (png, "image/png")])
+def test_images_are_confirmed_whole(make, kind):
+    one = make()
+    assert [(s.media_type, s.end - s.start) for s in media.sniff(one + b"xx" + one + one)] == [(kind, len(one))] * 3
+    assert media.sniff(one[:-1]) == [] and media.sniff(one[:10] + b"\x7f" * 9 + one[19:]) == []
+
+
+def test_bytes_full_of_magics_cost_little():
+    n = 1 << 20
+    riff = b"RIFF" + struct.pack("<I", 40) + b"WAVE"
+    began = time.perf_counter()
+    for unit in (b"PK\x03\x04", b"%PDF-1.4", b"%PDF-1.4 startxref %%EOF", b"PK\x05\x06", b"GIF89a", b"GIF89a" + bytes(4) + b"\0\0\0\x21\xf9\x02ab\0", b"\xff\xd8\xff\xe0\0\x04", b"\xff\xd8\xff\xda\0\x02a", b"BM", riff, riff + b"fmt \0\0\0\0", b"\x1f\x8b\x08\0", b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"):
+        media.sniff(unit * (n // len(unit)))
+    assert time.perf_counter() - began < 40
+
+
 def test_magic_across_windows(monkeypatch):
     monkeypatch.setattr(media, "WINDOW", 11)
     data = b"x" * 7 + png() + b"y" * 5
