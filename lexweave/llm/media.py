@@ -91,7 +91,9 @@ class Structure:
         start = at + 12
         self.walk_chunks(start)
         first = [self.next_chunk.get((kind, start), end) for kind in (b"fmt ", b"data")]
-        return end if max(first) < end and (self.reaches(start, end) or self.reaches(start, end + 1)) else None
+        # A last chunk of odd length may lack its padding.
+        whole = self.reaches(start, end) or self.reaches(start, end + 1) and not self.reaches(start, end - 7)
+        return end if max(first) < end and whole else None
 
     def walk_chunks(self, start: int) -> None:
         """Follow the chunks from a place until they end or meet a path that is known; places are visited once."""
