@@ -1,5 +1,6 @@
 """Operators that compare documents, and the pipeline."""
 
+import gzip
 import hashlib
 import os
 import random
@@ -483,30 +484,54 @@ def test_portions_give_the_same_ids(monkeypatch):
 # WARC
 
 
-def test_archives_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_bytes", [warc.BROADCAST_BYTES, -1])
+def test_archives_round_trip(spark, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(warc, "ROLL", 10_000)
     same, big = "z" * 5000, "".join(map(chr, range(97, 123))) * 120_000
-    rows = [(1, "u", same), (5, "v", same), (3, None, same), (None, "w\r\nx", same), (7, "q", None), (8, "q", ""), (9, "big", big), (5, "v", same), (10, "s", "short"), (11, "s", "short")]
-    listing = warc.write_archives(warc.decide(spark.createDataFrame([(*r, "c", 0) for r in rows], "page_id long, url string, html string, sha1 string, payload int")), fresh_path(spark, "warc"))
+    rows = [(1, "u", same), (5, "v", same), (3, None, same), (None, "w\r\nx", same), (7, "q", None), (8, "q", ""), (9, "big", big), (5, "v", same), (10, "s", "short"), (11, "s", "short"), (12, "t", big), (None, "n", "n" * 2000), (None, "n", "n" * 2000)]
+    frame = spark.createDataFrame([(*r, "c", 0) for r in rows], "page_id long, url string, html string, sha1 string, payload int")
+    listing = warc.write_archives(warc.decide(frame, broadcast_bytes=broadcast_bytes), fresh_path(spark, "warc"))
     chunks = warc.read_archives(listing).collect()
     last = [r for r in chunks if r["last"]]
     assert len(last) == len(rows) == sum(r["records"] for r in listing.collect())
     kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in last)
-    assert kinds == Counter([(1, "revisit", 5), (5, "response", None), (5, "response", None), (3, "revisit", 5), (None, "revisit", 5), (7, "response", None), (8, "response", None), (9, "response", None), (10, "response", None), (11, "response", None)])
-    pieces = sorted((r["chunk_no"], bytes(r["data"])) for r in chunks if r["page_id"] == 9)
+    assert kinds == Counter([(1, "revisit", 5), (5, "response", None), (5, "response", None), (3, "revisit", 5), (None, "revisit", 5), (7, "response", None), (8, "response", None), (9, "revisit", 12), (10, "response", None), (11, "response", None), (12, "response", None), (None, "response", None), (None, "response", None)])
+    pieces = sorted((r["chunk_no"], bytes(r["data"])) for r in chunks if r["page_id"] == 12)
     assert len(pieces) == 3 and b"".join(d for _, d in pieces) == big.encode()
+    bare = warc.read_archives(listing, with_data=False).collect()
+    assert Counter(r["sha1"] for r in bare) == Counter(r["sha1"] for r in chunks) and {r["data"] for r in bare if r["page_id"] == 12} == {None}
     for r in last:
-        html = dict((a, c) for a, _, c in rows)[r["page_id"]] or ""
+        html = next(c or "" for a, u, c in rows if a == r["page_id"] and (a is not None or (c or "")[:1] == ("z" if r["refers_to"] else "n")))
         assert (r["payload_bytes"], r["sha1"]) == (len(html), hashlib.sha1(html.encode()).hexdigest())
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(warc.decide(empty), fresh_path(spark, "warc"))).count() == 0
 
 
+def test_revisits_refer_to_their_response(spark):
+    frame = spark.createDataFrame([(1, "u", "z" * 5000), (2, "v", "z" * 5000), (3, "w", "y")], "page_id long, url string, html string")
+    listing = warc.write_archives(warc.decide(frame), fresh_path(spark, "warc"))
+    found = {}
+    for path in (r["path"] for r in listing.collect()):
+        with gzip.open(path.removeprefix("file://")) as f:
+            for record in f.read().split(b"WARC/1.1\r\n")[1:]:
+                fields = warc._fields(b"WARC/1.1\r\n" + record.split(b"\r\n\r\n")[0])
+                found[fields["x-page-id"]] = fields
+    assert found["1"]["warc-refers-to"] == found["2"]["warc-record-id"] and found["1"]["warc-refers-to-target-uri"] == "v"
+    assert len({f["warc-record-id"] for f in found.values()}) == 3
+
+
+def test_payloads_are_not_shuffled(spark, sf_dir):
+    plan = warc.decide(spark.read.parquet(f"{sf_dir}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not re.search(r"Exchange hashpartitioning", plan)
+
+
 def test_damaged_payload_is_reported(tmp_path):
     import pyarrow as pa
 
     writer = warc.ArchiveWriter(f"file://{tmp_path}", "p", "0")
-    writer.add(1, "u", memoryview(b"payload"), hashlib.sha1(b"other").hexdigest(), None, None)
+    writer.begin(1, "u", 7, hashlib.sha1(b"other").hexdigest(), False, None, None)
+    writer.put(b"payload")
+    writer.end()
     writer.close()
     with pytest.raises(ValueError, match="digest"):
         list(warc.read_records(pa.OSFile(str(tmp_path / "p-0000.warc.gz"))))
