@@ -14,13 +14,14 @@ DEFAULTS = {
 }
 
 
-#: Rows in an Arrow batch of whole texts. Texts of 100 kB then make batches of 25 MB.
-TEXT_BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch of whole texts; a batch ends at whichever comes first, after one row at least.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 256, 16 << 20
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the session, which count rows and not bytes, for columns of whole texts."""
+def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS, size: int = TEXT_BATCH_BYTES) -> None:
+    """Bound the Arrow batches of the session for columns of whole texts. The settings stay, as plans are run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:

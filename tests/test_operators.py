@@ -148,3 +148,14 @@ def test_batch_run_twice_changes_nothing(spark, tmp_path):
     assert (again["documents"], again["changes"], again["citations"], again["scores_written"], again["shrunk"]) == (6, 0, 6, 0, 0)
     rank = {r["id"]: r["citation_rank"] for r in spark.read.parquet(f"{root}/scores").collect()}
     assert rank[1] == 2.0 + 2.0 + 0.5 + 3.0 and rank[6] == 0.0
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from lexweave.session import TEXT_BATCH_BYTES, text_batches
+
+    text_batches(spark)
+    rows = spark.range(60).repartition(1).selectExpr("id", "repeat('x', 2000000) AS t")
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 5 and max(r["n"] for r in sizes) < TEXT_BATCH_BYTES + 4_000_000
