@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import logging
 import re
 import zlib
 from array import array
@@ -140,6 +141,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
         ratio = np.where(can, np.maximum(amount, 0) / np.where(can, change, 1), np.inf)
         leaving = int(ratio.argmin())
         basis[:, leaving], cost[leaving] = column, its_cost
+    else:
+        logging.getLogger(__name__).warning("column generation stopped after %d pivots, perhaps before the optimum", PIVOTS)
     amount = np.linalg.solve(basis, demand.astype(float))
     return [(int(a + 1e-9), basis[:, j]) for j, a in enumerate(amount) if cost[j] and a >= 1 - 1e-9]
 
@@ -255,18 +258,19 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """Adds rank (from 0) among the rows of each length; a common length is counted in many bins."""
+    """Adds rank (from 0) among the rows of each length, written rows with a column deal; a common length is counted in many
+    bins, and where a row was written decides its bin, so null and repeated ids are dealt as well."""
     bins = max(1, total // BIN_ROWS)
-    binned = rows.withColumn("bin", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(bins)))
+    binned = rows.withColumn("bin", F.pmod(F.col("deal"), F.lit(bins)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     starts = binned.groupBy("length", "bin").agg(F.count("*").alias("n")).select("length", "bin", F.coalesce(before, F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("length", "bin").orderBy("doc_id", "piece", "ids_crc32"))
-    return binned.withColumn("inside", inside).join(starts, ["length", "bin"]).withColumn("rank", (F.col("first") + F.col("inside") - 1).cast("long")).drop("bin", "inside", "first")
+    inside = F.row_number().over(Window.partitionBy("length", "bin").orderBy("doc_id", "piece", "ids_crc32", "deal"))
+    return binned.withColumn("inside", inside).join(starts, ["length", "bin"]).withColumn("rank", (F.col("first") + F.col("inside") - 1).cast("long")).drop("bin", "inside", "first", "deal")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = materialize(pieces(docs, vocabulary, capacity, id_col, text_col), "pieces")
+    rows = materialize(pieces(docs, vocabulary, capacity, id_col, text_col).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_plan(histogram, capacity).entries()
     spark = docs.sparkSession
