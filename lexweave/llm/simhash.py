@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import materialize, table, text_batches, text_or_empty
+from lexweave.llm.common import join_hot_keys, materialize, table, text_batches, text_or_empty
 
 RADIUS = 2
 #: Distinct fingerprints in a bucket before it is dealt again.
@@ -340,11 +340,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fp (signed long), component_id of every row."""
     prints = materialize(fingerprints(docs, id_col, text_col, words_each), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
     found = links(distinct.filter("rep is not null"), radius, bucket_rows)
     roots = components(found)
-    named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
+    return join_hot_keys(prints, named, distinct.select("fp", "n"), "fp").select("doc_id", "fp", "component_id")
 
 
 # Wide fingerprints, for similarities that 64 bits can't tell apart
@@ -360,6 +360,8 @@ SHORT_RADIUS, SHORT = 256, 80
 SIMILARITY = 0.8
 #: Bytes of text in a bucket before it is cut into parts.
 BUCKET_BYTES = 64 << 20
+#: Pairs and rows that are compared in a task, about, and the most tasks.
+TASK_PAIRS, TASK_ROWS, MAX_TASKS = 10_000_000, 5_000, 100_000
 
 
 def _mix(h: np.ndarray, lanes: int) -> np.ndarray:
@@ -409,13 +411,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = materialize(prints, "wide-fingerprints")
     # Texts with the same set of shingles are one; the row with the smallest id stands for it.
     one = F.min_by(F.struct("text_hash", "fp", "low", "short", "bytes"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
-    distinct = prints.groupBy("shingles").agg(F.min("doc_id").alias("rep"), one.alias("x")).select("shingles", "rep", "x.*")
+    distinct = prints.groupBy("shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), one.alias("x")).select("shingles", "rep", "n", "x.*")
     distinct = materialize(distinct, "distinct-fingerprints")
     pairs = [(a, b) for a in range(MINIMA) for b in range(a)]
     major = F.array(*[F.xxhash64(F.lit(n), F.col("low")[a], F.col("low")[b]) for n, (a, b) in enumerate(pairs)])
     # Fingerprints and texts are long: they join only what shares a bucket with another.
     keyed = distinct.filter("rep is not null").select(F.explode(major).alias("major"), "rep", "text_hash", "bytes")
-    counts = keyed.groupBy("major").agg(F.count("*").alias("size"), F.sum("bytes").alias("total")).filter("size > 1")
+    counts = materialize(keyed.groupBy("major").agg(F.count("*").alias("size"), F.sum("bytes").alias("total")).filter("size > 1"), "buckets")
     parts = F.least("size", F.greatest(F.ceil(F.col("size") / F.lit(bucket_rows)), F.ceil(F.col("total") / F.lit(BUCKET_BYTES)))).cast("long")
     shared = keyed.join(counts, "major").select("major", "rep", "text_hash", parts.alias("parts"), F.pmod(F.xxhash64("text_hash", "rep"), parts).alias("part"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != F.col("part"))
@@ -426,13 +428,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = dealt.join(held, ["rep", "text_hash"])
     short = dealt.filter("short")
 
+    # Comparing costs by pairs and not by bytes, so the number of tasks comes from the counts.
+    copies = F.greatest(parts - 1, F.lit(1))
+    compared, rows = counts.agg(F.sum(F.col("size") * F.col("size") / 2), F.sum(F.col("size") * copies)).first()
+    tasks = int(min(MAX_TASKS, max(1, (compared or 0) // TASK_PAIRS, (rows or 0) // TASK_ROWS)))
+
     def found(rows: DataFrame, within: int) -> DataFrame:
-        rows = rows.select("major", "minor", "fp", "rep", "text").repartition("major", "minor").sortWithinPartitions("major", "minor", "fp")
+        rows = rows.select("major", "minor", "fp", "rep", "text").repartition(tasks, "major", "minor").sortWithinPartitions("major", "minor", "fp")
         return rows.mapInArrow(_linker(within, words_each, similarity), "u long, v long")
 
     roots = components(found(dealt, radius).unionByName(found(short, max(radius, SHORT_RADIUS))))
-    named = distinct.join(roots, distinct.rep == roots.node, "left").select("shingles", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "shingles").select("doc_id", "text_hash", "component_id")
+    named = materialize(distinct.join(roots, distinct.rep == roots.node, "left").select("shingles", F.coalesce("root", "rep").alias("component_id")), "named")
+    return join_hot_keys(prints.select("doc_id", "text_hash", "shingles"), named, distinct.select("shingles", "n"), "shingles").select("doc_id", "text_hash", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

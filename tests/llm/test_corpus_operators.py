@@ -317,6 +317,16 @@ def test_wide_distances_tell_similarities_apart():
         assert (distance(words, longer) <= simhash.WIDE_RADIUS) is linked
 
 
+def test_hot_keys_join_like_others(spark):
+    from lexweave.llm.common import join_hot_keys
+
+    rows = spark.createDataFrame([(i, i % 700 if i % 3 else 5) for i in range(3000)], "doc_id long, fp long")
+    counts = rows.groupBy("fp").count().withColumnRenamed("count", "n")
+    named = counts.select("fp", (F.col("fp") * 2).alias("component_id"))
+    got = sorted((r["doc_id"], r["fp"], r["component_id"]) for r in join_hot_keys(rows, named, counts, "fp").collect())
+    assert got == [(i, f, 2 * f) for i in range(3000) for f in [i % 700 if i % 3 else 5]]
+
+
 def test_components_of_long_chains(spark):
     chain = [(i + 1, i) for i in range(60)] + [(101, 100), (102, 100), (103, 102)]
     random.Random(1).shuffle(chain)
@@ -388,6 +398,38 @@ def test_short_texts_of_the_threshold_link(spark):
     assert linked >= 59 and all(got[i] == i for i in range(0, 120, 2))  # minima name the buckets: 99.8 %
 
 
+def test_all_similar_pairs_of_the_documents_are_linked(spark):
+    """Every pair of documents at sf 0.01 by an inverted index of all shingles, hot ones included."""
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {i: shingles_of(t) for i, t in rows}
+    by_set = defaultdict(list)
+    for i, s in sorted(sets.items()):
+        by_set[frozenset(s)].append(i)
+    first = {ids[0]: s for s, ids in by_set.items()}
+    holders, parent = defaultdict(list), {i: i for i in first}
+    for i, s in first.items():
+        for x in s:
+            holders[x].append(i)
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in first.items():
+        shared = Counter(j for x in s for j in holders[x] if j < i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(first[j]) - n) - 1e-9:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {i: find(ids[0]) for ids in by_set.values() for i in ids}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 50 and sum(got[i] == want[i] for i in linked) >= 0.998 * len(linked)
+    assert all(want[got[i]] == want[i] for i in got)
+
+
 def test_repeated_lines_count_once(spark):
     rng = random.Random(13)
     fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
