@@ -13,6 +13,29 @@ def neighbourhood(edges: DataFrame, centre: int) -> tuple[DataFrame, DataFrame]:
     return nodes.withColumn("is_centre", F.col("id") == centre), near
 
 
+def document_citations(edges: DataFrame, docs: DataFrame, centre: int) -> DataFrame:
+    """G1: rows (direction, ref, type, level, other_id, title, site_key): what a document cites, with the target where it is
+    resolved, and what cites it. docs: id, title, site_key."""
+    out = edges.filter(F.col("source_id") == centre).join(docs.withColumnRenamed("id", "other_id"), F.col("target_id") == F.col("other_id"), "left")
+    into = edges.filter(F.col("target_id") == centre).join(docs.withColumnRenamed("id", "other_id"), F.col("source_id") == F.col("other_id"))
+    row = lambda df, name, level: df.select(F.lit(name).alias("direction"), F.col("target_ref").alias("ref"), F.col("citation_type").alias("type"), F.col(level).alias("level"), "other_id", "title", "site_key")
+    return row(out, "cites", "target_level").unionByName(row(into, "cited by", "source_level"))
+
+
+def chains(edges: DataFrame, levels: DataFrame, top: str) -> DataFrame:
+    """(root, middle, leaf, levels): documents of the top level, what cites them and what cites that (null: nothing).
+    levels: id, level of each document."""
+    pairs = edges.filter("target_id is not null").select("source_id", "target_id").distinct()
+    known = pairs.join(levels.select(F.col("id").alias("source_id"), F.col("level").alias("lower")), "source_id").join(levels.select(F.col("id").alias("target_id"), F.coalesce("level", F.lit("unknown")).alias("upper")), "target_id")
+    first = known.filter(F.col("upper") == top).select(F.col("target_id").alias("root"), F.col("source_id").alias("middle"), "upper", "lower")
+    second = known.select(F.col("target_id").alias("middle"), F.col("source_id").alias("leaf"), F.col("lower").alias("lowest"))
+    both = first.join(second, "middle", "left")
+    # A citation back to the root is no chain; a middle that has no other keeps its row without a leaf.
+    forth = both.filter(F.col("leaf").isNull() | (F.col("leaf") != F.col("root")))
+    lone = first.join(forth.select("root", "middle").distinct(), ["root", "middle"], "left_anti").select("middle", "root", "upper", "lower", F.lit(None).cast("long").alias("leaf"), F.lit(None).cast("string").alias("lowest"))
+    return forth.unionByName(lone).select("root", "middle", "leaf", F.concat_ws(" > ", "upper", "lower", "lowest").alias("levels"))
+
+
 def hub_network(edges: DataFrame, max_hubs: int = 400, max_edges: int = 2500) -> DataFrame:
     """Edges (source_id, target_id, n) of the most cited targets, capped: the caps are the feature. Ties: smaller ids."""
     hubs = edges.filter("target_id is not null").groupBy("target_id").agg(F.count("*").alias("cited")).orderBy(F.desc("cited"), "target_id").limit(max_hubs)

@@ -46,25 +46,31 @@ def resolve_titles(names: DataFrame, titles: DataFrame, least_title: int = 8, le
     """Names (name) against titles (title, id), both normalised -> name, id, how.
 
     First an equal title; then the longest title of least_title characters that is part of the name, leftmost on ties;
-    then the shortest title that the name is part of, the smallest id on ties. Seeds are exact: a contained title begins
-    at some window of the name, so windows of least_title characters are equi-joined with title heads and then verified.
-    For the other direction a name is seeded by the rarest of its windows, so frequent openings don't pile up.
+    then the shortest title that the name is part of, the smallest id on ties. Candidates come from seeds: what is part of
+    something else is looked up by the rarest of its windows, so openings that many titles share don't pile up, and is then
+    verified. Nothing is lost, as all windows of the longer side are looked up.
     """
+
+    def windows(df: DataFrame, c: str, size: int) -> DataFrame:
+        return df.filter(F.length(c) >= size).select(c, F.explode(_windows(c, size)).alias("w")).select(c, "w.pos", "w.gram")
+
+    def rarest(grams: DataFrame, c: str, frequency: DataFrame) -> DataFrame:
+        counted = grams.join(frequency, "gram", "left")
+        return counted.groupBy(c).agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "pos")).alias("gram"))
+
     t = titles.filter(F.length("title") > 0).groupBy("title").agg(F.min("id").alias("id"))
     n = names.select("name").filter(F.length("name") > 0).distinct()
     equal = n.join(t, n.name == t.title).select("name", "id", F.lit("equal").alias("how"))
     rest = n.join(equal, "name", "left_anti")
     long_titles = t.filter(F.length("title") >= least_title)
-    heads = long_titles.select(F.substring("title", 1, least_title).alias("gram"), "title", "id")
-    seeds = rest.filter(F.length("name") >= least_title).select("name", F.explode(_windows("name", least_title)).alias("w")).select("name", "w.pos", "w.gram")
-    inside = seeds.join(heads, "gram").filter(F.substring(F.col("name"), F.col("pos"), F.length("title")) == F.col("title"))
-    inside = inside.groupBy("name").agg(F.max_by("id", F.struct(F.length("title"), -F.col("pos"))).alias("id")).select("name", "id", F.lit("title in name").alias("how"))
+    wide = windows(long_titles, "title", least_title)
+    seeds = rarest(wide, "title", wide.groupBy("gram").agg(F.count("*").alias("df"))).join(long_titles, "title")
+    inside = windows(rest, "name", least_title).select("name", "gram").distinct().join(seeds, "gram").withColumn("at", F.instr("name", F.col("title"))).filter("at > 0")
+    inside = inside.groupBy("name").agg(F.max_by("id", F.struct(F.length("title"), -F.col("at"))).alias("id")).select("name", "id", F.lit("title in name").alias("how"))
     rest = rest.join(inside, "name", "left_anti").filter(F.length("name") >= least_name)
-    grams = long_titles.select("title", "id", F.explode(_windows("title", least_name)).alias("w")).select("title", "id", "w.pos", "w.gram")
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    choices = rest.select("name", F.explode(_windows("name", least_name)).alias("w")).select("name", "w.pos", "w.gram").join(frequency, "gram", "left")
-    rare = choices.groupBy("name").agg(F.min_by(F.struct("gram", "pos"), F.struct(F.coalesce("df", F.lit(0)), F.col("pos"))).alias("s")).select("name", "s.gram", F.col("s.pos").alias("at"))
-    around = rare.join(grams, "gram").filter((F.col("pos") >= F.col("at")) & (F.substring(F.col("title"), F.col("pos") - F.col("at") + 1, F.length("name")) == F.col("name")))
+    grams = windows(long_titles, "title", least_name).select("title", "gram").distinct()
+    rare = rarest(windows(rest, "name", least_name), "name", grams.groupBy("gram").agg(F.count("*").alias("df")))
+    around = rare.join(grams, "gram").filter(F.col("title").contains(F.col("name"))).join(long_titles, "title")
     around = around.groupBy("name").agg(F.min_by("id", F.struct(F.length("title"), F.col("id"))).alias("id")).select("name", "id", F.lit("name in title").alias("how"))
     return equal.unionByName(inside).unionByName(around)
 
