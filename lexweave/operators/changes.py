@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.session import materialize
+
 
 def _plain(c: Column) -> Column:
     return F.trim(F.coalesce(c.cast("string"), F.lit("")))
@@ -69,16 +71,14 @@ def update_columns(current: DataFrame, changes: DataFrame, key: str, columns: li
     return current.join(new, key, "left").select(*[F.coalesce(F.col(f"n_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns])
 
 
-def allocate_ids(current: DataFrame, incoming: DataFrame, id_col: str, order: list[str], bins: int = 32) -> DataFrame:
-    """Ids after the largest one, in order. Rows are numbered inside ranges whose bounds are rows of the table itself,
-    picked by a hash, so no task orders all rows and a task that runs again gives the same numbers."""
+def allocate_ids(current: DataFrame, incoming: DataFrame, id_col: str, order: list[str], bin_rows: int = 500_000) -> DataFrame:
+    """Ids after the largest one, in order. Rows are dealt into ranges of the order by Spark's range partitioning, about
+    bin_rows to a range, and written; ranges are laid end to end by their counts and rows are numbered inside their range. No
+    task orders all rows, and as ranges are written, a task that runs again gives the same numbers. Rows with equal order
+    columns may come in any order; order by a key."""
     top = current.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-    types = dict(incoming.dtypes)
-    picked = incoming.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(bins - 1).collect()
-    key = F.struct(*[F.col(c).alias(c) for c in order])
-    bounds = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in picked]
-    number = sum(((key >= b).cast("int") for b in bounds), F.lit(0))
-    binned = incoming.withColumn("__bin", number)
+    bins = max(1, -(-incoming.count() // bin_rows))
+    binned = materialize(incoming.repartitionByRange(bins, *order).withColumn("__bin", F.spark_partition_id()), "id-ranges")
     before = F.sum("c").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
     starts = binned.groupBy("__bin").agg(F.count("*").alias("c")).select("__bin", F.coalesce(before, F.lit(0)).alias("__s"))
     numbered = binned.withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy(*order)))
@@ -102,10 +102,12 @@ def replace_bodies(current: DataFrame, extracted: DataFrame, key: str, body: str
 
 
 def merge_corpora(base: DataFrame, other: DataFrame, url: str, id_col: str) -> DataFrame:
-    """Base plus the rows of other whose address is new (rows without one always), with new ids."""
+    """Base plus the rows of other whose address is new (rows without one always), with new ids in the order of the
+    addresses; rows that share one or have none follow each other in the order of a hash of the row."""
     known = base.filter(F.coalesce(url, F.lit("")) != "").select(F.col(url).alias("__u")).distinct()
     fresh = other.join(known, F.col(url) == F.col("__u"), "left_anti").drop(id_col)
-    return base.unionByName(allocate_ids(base, fresh, id_col, [c for c in fresh.columns]).select(*base.columns))
+    ordered = fresh.withColumn("__row", F.xxhash64(*fresh.columns))
+    return base.unionByName(allocate_ids(base, ordered, id_col, [url, "__row"]).select(*base.columns))
 
 
 def run_summary(changes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The nightly batch (X5): take a snapshot in, compare, rebuild citations, scores and the search index, write only what
-changed. Each step is written before the next one reads it, and a table is replaced as a whole, so the batch can be run
-again at any point; run twice on the same input, the second run changes nothing.
+changed. Each step is written before the next one reads it. A table is a folder of versions, of which the newest complete one
+counts (sinks.Versions), so a batch that dies at any point leaves whole tables and can be run again; run twice on the same
+input, the second run changes nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from lexweave.functions import text as T
 from lexweave.operators.changes import diff_write, snapshot_diff, upsert
 from lexweave.operators.citations import build_citations, citation_rank
 from lexweave.operators.search import postings
-from lexweave.sources.sinks import exists, shrunk
+from lexweave.sources.sinks import Versions, shrunk
 
 DOCUMENTS = "id int, site_key string, title string, number string, body string, references array<string>"
 SCORES = "id int, citation_rank double, doc_type string, relevance double"
@@ -28,31 +29,22 @@ def scores(docs: DataFrame, citations: DataFrame, terms: dict[str, int] = L.AI_T
 def run_batch(spark: SparkSession, incoming: DataFrame, sites: DataFrame, root: str, run_id: str) -> dict[str, int]:
     """Tables below root: documents, changes/run=..., citations, scores, index. Returns the counts of a run's report."""
 
-    def current(name: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{root}/{name}") if exists(spark, f"{root}/{name}") else spark.createDataFrame([], schema)
+    def table(name: str) -> Versions:
+        return Versions(spark, root, name)
 
-    def replace(df: DataFrame, name: str) -> DataFrame:
-        """Written beside the old table, then moved into its place."""
-        df.write.mode("overwrite").parquet(f"{root}/{name}.next")
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = where(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(where(f"{root}/{name}"), True)
-        fs.rename(where(f"{root}/{name}.next"), where(f"{root}/{name}"))
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    old = current("documents", DOCUMENTS)
+    old = table("documents").read(DOCUMENTS)
     before = old.count()
     seen = old.join(incoming.select("id"), "id", "left_semi")
     changes = snapshot_diff(seen, incoming, "id", ["title", "number", "body"], run_id)
     changes.write.mode("overwrite").parquet(f"{root}/changes/run={run_id}")
-    docs = replace(upsert(old, incoming, "id"), "documents")
-    citations = replace(build_citations(docs, sites), "citations")
+    docs = table("documents").replace(upsert(old, incoming, "id"))
+    citations = table("citations").replace(build_citations(docs, sites))
     now = scores(docs, citations)
-    had = current("scores", SCORES)
+    had = table("scores").read(SCORES)
     changed = diff_write(had, now, "id", ["citation_rank", "relevance"], ["doc_type"])
     changed.write.mode("overwrite").parquet(f"{root}/scores_changed/run={run_id}")
-    replace(now, "scores")
-    replace(postings(docs.select(F.col("id").alias("doc_id"), "title", F.col("number").alias("document_number"), "body")), "index")
+    table("scores").replace(now)
+    table("index").replace(postings(docs.select(F.col("id").alias("doc_id"), "title", F.col("number").alias("document_number"), "body")))
     after = docs.count()
     return {
         "documents": after,

@@ -66,3 +66,51 @@ def html_files(pages: DataFrame, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Whether path took the name; if something has it already, path is deleted and that stays."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where(to)):
+        fs.mkdirs(where(to).getParent())
+        if fs.rename(where(path), where(to)):
+            return True
+    fs.delete(where(path), True)
+    return False
+
+
+class Versions:
+    """A table as versioned folders below root/name: a version counts when its marker is there, the newest one is the table.
+    A writer that dies leaves the version before it; old versions go when a newer one is complete."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        self.spark, self.path = spark, f"{root}/{name}"
+        self.where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.where(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        """All versions, complete or not."""
+        if not self.fs.exists(self.where(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.where(self.path))]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+    def _complete(self, number: int) -> bool:
+        return self.fs.exists(self.where(f"{self.path}/v={number}/_SUCCESS"))
+
+    def current(self) -> str | None:
+        """The folder of the newest complete version."""
+        return next((f"{self.path}/v={n}" for n in reversed(self._numbers()) if self._complete(n)), None)
+
+    def read(self, schema: str) -> DataFrame:
+        at = self.current()
+        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
+
+    def replace(self, df: DataFrame) -> DataFrame:
+        numbers = self._numbers()
+        number = (numbers[-1] if numbers else 0) + 1
+        df.write.parquet(f"{self.path}/v={number}")
+        for n in numbers:
+            self.fs.delete(self.where(f"{self.path}/v={n}"), True)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/v={number}")

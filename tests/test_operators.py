@@ -159,3 +159,72 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
     rows = spark.range(60).repartition(1).selectExpr("id", "repeat('x', 2000000) AS t")
     sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
     assert len(sizes) > 5 and max(r["n"] for r in sizes) < TEXT_BATCH_BYTES + 4_000_000
+
+
+def test_ids_are_gapless_over_many_ranges(spark):
+    names = [f"n{(i * 7919) % 1000:04d}" for i in range(1000)] + ["same"] * 50
+    have = spark.createDataFrame([(7, "x")], "id long, name string")
+    got = C.allocate_ids(have, spark.createDataFrame([(n,) for n in names], "name string"), "id", ["name"], bin_rows=90).collect()
+    assert [r["name"] for r in sorted(got, key=lambda r: r["id"])] == sorted(names) and sorted(r["id"] for r in got) == list(range(8, 8 + len(names)))
+    none = spark.createDataFrame([], "name string")
+    assert C.allocate_ids(have, none, "id", ["name"]).count() == 0
+
+
+def test_versions_survive_a_dead_writer(spark, tmp_path):
+    from lexweave.sources.sinks import Versions
+
+    table = Versions(spark, f"file://{tmp_path}", "t")
+    assert table.read("x int").count() == 0
+    table.replace(spark.createDataFrame([(1,)], "x int"))
+    # A writer that died: a version without its marker. The table is the version before it, and the next one goes on.
+    dead = tmp_path / "t" / "v=2"
+    dead.mkdir()
+    (dead / "part-0.parquet").write_bytes(b"half")
+    assert [r["x"] for r in table.read("x int").collect()] == [1]
+    # The next version may be made of the current one.
+    table.replace(table.read("x int").selectExpr("x + 1 AS x"))
+    assert [r["x"] for r in Versions(spark, f"file://{tmp_path}", "t").read("x int").collect()] == [2]
+    # A writer that died after its table was whole, before the old one went.
+    (tmp_path / "t" / "v=1").mkdir()
+    assert [r["x"] for r in table.read("x int").collect()] == [2]
+
+
+def test_batch_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
+    from lexweave.plans import batch, texts
+
+    docs, sites = texts.corpus(spark)
+    root = f"file://{tmp_path}"
+
+    def broken(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(batch, "scores", broken)
+    with pytest.raises(RuntimeError):
+        batch.run_batch(spark, docs, sites, root, "r1")
+    monkeypatch.undo()
+    report = batch.run_batch(spark, docs, sites, root, "r1")
+    assert report["documents"] == 6 and report["citations"] == 6 and report["scores_written"] == 6
+
+
+def test_stored_index(spark, tmp_path):
+    from lexweave.operators import search as Q
+
+    docs = spark.createDataFrame([(1, "red fox", "the fox", 5), (2, "dog", "the dog and the fox", 6), (3, "", "", 7), (4, None, None, 8)], "doc_id long, title string, body string, day int")
+    index = Q.StoredIndex.build(docs, f"file://{tmp_path}/i", ["title", "day"], buckets=4)
+    again = Q.StoredIndex(spark, f"file://{tmp_path}/i")
+    assert (again.total, again.tokens) == (index.total, index.tokens) == (4, 10)
+    assert sorted(r["doc_id"] for r in again.bm25(["fox"]).collect()) == [1, 2] and again.bm25(["fox", "dog"]).count() == 1 and again.bm25(["cat"]).count() == 0 and again.bm25([]).count() == 0
+    assert len({f.split("/")[-2] for f in again.postings(["fox"]).inputFiles()}) == 1
+    assert Q.search(docs, f"file://{tmp_path}/none", "the fox", ["fox"], ["body"])[0] == "trigram"
+    assert Q.search(docs, again, "fox", ["fox"], ["body"])[0] == "bm25"
+    empty = Q.StoredIndex.build(docs.limit(0), f"file://{tmp_path}/e", ["title", "day"])
+    assert empty.bm25(["fox"]).count() == 0 and Q.search(docs.limit(0), empty, "fox", ["fox"], ["body"])[0] == "like"
+
+
+def test_titles_that_share_their_opening_resolve(spark):
+    from lexweave.operators.joins import resolve_titles
+
+    titles = [(i, f"the common opening of all titles number {i:04d}") for i in range(300)]
+    names = [f"see {titles[7][1]} (draft)", "number 0123", titles[9][1], "nothing of it", "titles"]
+    got = {(r["name"], r["id"], r["how"]) for r in resolve_titles(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(titles, "id long, title string")).collect()}
+    assert got == {(names[0], 7, "title in name"), (names[1], 123, "name in title"), (names[2], 9, "equal"), (names[4], 0, "name in title")}
