@@ -1,41 +1,15 @@
-"""Helpers shared by the operators: shared storage, Arrow batches (text_batches, from the session's module) and tables."""
+"""Helpers shared by the operators: tables, joins of hot keys, and from the session's module shared storage and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.session import spread, text_batches
+from lexweave.session import fresh_path, materialize, remove_intermediates, shared_dir, spread, text_batches
 
 __all__ = ["fresh_path", "join_hot_keys", "materialize", "remove_intermediates", "shared_dir", "table", "text_batches", "text_or_empty"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset (tests); it
-    gets a new folder of the machine then, and elsewhere that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir isn't set: name a folder there that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='lexweave-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, and is computed once."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Keys that join_hot_keys() takes for hot at most: those that hold at least that part of all rows.
 HOT_KEYS = 1000
 
@@ -50,12 +24,6 @@ def join_hot_keys(rows: DataFrame, named: DataFrame, counts: DataFrame, key: str
     return rows.join(some, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(named, key))
 
 
-def remove_intermediates(spark: SparkSession) -> None:
-    """Delete what was written between steps. Results that are still lazy read it, so call this when they have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexweave")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
