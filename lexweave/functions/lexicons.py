@@ -65,8 +65,6 @@ AI_TERMS = {
 }
 
 AMOUNT_IN_CONTEXT = r"([^。；\n]{0,80})(\d+(?:\.\d+)?)\s*(万元|亿元)([^。；\n]{0,40})"
-SUBSIDY_TITLE_WORDS = ["补贴", "扶持", "奖励", "资助", "引导基金", "专项资金", "产业资金", "支持措施", "扶持措施", "奖励办法", "资助办法", "若干措施", "促进.*发展", "贴息"]
-SUBSIDY_CATEGORY_WORDS = ["专项资金信息", "财政预决算", "其他资金信息"]
 SECTORS = [
     "人工智能", "集成电路", "半导体", "芯片", "新能源", "新能源汽车", "光伏", "储能", "生物医药", "生命健康", "医疗器械", "数字经济", "数字化", "信息技术", "软件", "智能制造", "机器人", "高端装备",
     "新材料", "先进材料", "海洋经济", "海洋产业", "航空航天", "低空经济", "无人机", "5G", "量子", "区块链", "文化创意", "文化产业", "金融科技", "现代服务业", "绿色低碳", "节能环保", "现代农业", "总部经济",
@@ -106,7 +104,6 @@ LABEL_LEVELS = [
 # Collections: focus tag by title (first match wins), words that speak of the country, tier by level.
 FOCUS_TAGS = [("储备", "reserve"), ("霍尔木兹", "hormuz"), ("中方|外交部|中国|中企", "chinaresp"), ("进口|采购|抢购|供应", "import")]
 CHINA_WORDS = ["中国", "中方", "外交部", "中企", "独立炼油", "人民币"]
-TIERS = {"central": "central", "provincial": "provincial", "municipal": "municipal", "district": "municipal"}
 
 # Frontier: which source reaches an issuer, first match wins.
 REACH = [

@@ -157,7 +157,3 @@ def id_range(spark: SparkSession, listing: DataFrame, key: str, ahead: int = 49)
     top = listing.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
     more = top.select(F.explode(F.sequence(F.col("top") + 1, F.col("top") + ahead)).alias(key))
     return listing.select(key).unionByName(more).distinct()
-
-
-def local_files(folder: str, pattern: str = "*") -> list[str]:
-    return sorted(str(p) for p in Path(folder).glob(pattern))
