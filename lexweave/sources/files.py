@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
