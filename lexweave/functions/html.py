@@ -80,9 +80,12 @@ def is_stub(body: Column, hints: str, most: int = 200) -> Column:
     return (F.length(F.coalesce(body, F.lit(""))) < most) & F.coalesce(body, F.lit("")).rlike(hints)
 
 
-def soft_404(body: Column, least: int = 200, words: str = r"(?i)404|not found|页面不存在|无法访问") -> Column:
-    """H10."""
-    return (F.length(body) < least) | F.substring(body, 1, 2000).rlike(words)
+SOFT_404_WORDS = r"(?i)找不到|页面不存在|not found|404|无法找到|错误页面"  # fixed values
+
+
+def soft_404(body: Column, most: int = 2000, words: str = SOFT_404_WORDS) -> Column:
+    """A body shorter than most, blanks at its ends aside, that says that the page is missing. Empty or null: no."""
+    return F.coalesce((F.length(F.regexp_replace(body, r"^\s+|\s+$", "")) < most) & body.rlike(words), F.lit(False))
 
 
 def cms(html: Column, rules: list[tuple[str, str]]) -> Column:

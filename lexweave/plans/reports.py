@@ -301,10 +301,11 @@ def w3_first_level(spark, sf):
     return S.edges(spark, sf).groupBy("target_ref").agg(F.min_by("source_level", F.col("source_id") * 100 + kind).alias("first_level"))
 
 
-@query("SELECT doc_id, list_aggregate(list_slice(list_distinct_ordered, 1, 5), 'string_agg', ' ') AS first_words FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, list_slice(string_split(lower(split_part(text, chr(10), 1)), ' '), 1, 12) AS w FROM documents))")
+@query("SELECT d.doc_id, coalesce(n, 0) AS words_n, md5(coalesce(words, '')) AS words_md5 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS words FROM (SELECT doc_id, word, min(place) AS place FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)) GROUP BY 1, 2) GROUP BY 1) USING (doc_id)")
 def w4_ordered_distinct(spark, sf):
-    words = F.slice(F.split(F.lower(F.substring_index("text", "\n", 1)), " "), 1, 12)
-    return S.read(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(words), 1, 5), " ").alias("first_words"))
+    """Distinct words of the whole text in the order of their first places."""
+    words = F.array_distinct(F.split(F.lower("text"), " "))
+    return S.read(spark, sf, "documents").select("doc_id", F.coalesce(F.greatest(F.size(words), F.lit(0)), F.lit(0)).cast("long").alias("words_n"), F.md5(F.coalesce(F.array_join(words, " "), F.lit(""))).alias("words_md5"))
 
 
 @query("WITH c AS (SELECT source, count(*) FILTER (lang = 'en') AS n FROM documents GROUP BY 1) SELECT source, n, round(100.0::DOUBLE * n / max(n) OVER (), 3) AS pct FROM c")

@@ -369,9 +369,13 @@ def h11_page_systems(spark, sf):
     return S.read(spark, sf, "pages").groupBy(kind.alias("system")).agg(F.count("*").alias("n"), F.sum(F.regexp_count("html", F.lit("<li>"))).cast("long").alias("items"))
 
 
-@query("SELECT page_id, length(html) < 1500 OR regexp_matches(substr(html, 1, 2000), '(?i)404|not found') AS soft FROM pages")
+_PAGE_TEXT = "regexp_replace(html, '(?s)<[^>]+>', ' ', 'g')"
+
+
+@query(f"SELECT page_id, length(trim(t, ' ' || chr(9) || chr(10) || chr(13))) < 2000 AND regexp_matches(t, '(?i)found|404') AS soft FROM (SELECT page_id, coalesce({_PAGE_TEXT}, '') AS t FROM pages)")
 def h10_soft_404(spark, sf):
-    return S.read(spark, sf, "pages").select("page_id", H.soft_404(F.col("html"), 1500, "(?i)404|not found").alias("soft"))
+    text = F.regexp_replace("html", "(?s)<[^>]+>", " ")
+    return S.read(spark, sf, "pages").select("page_id", H.soft_404(text, words="(?i)found|404").alias("soft"))
 
 
 @query("SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS inner_html FROM pages")
