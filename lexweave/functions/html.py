@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from datetime import date
+from urllib.parse import urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Ends of article addresses in their order of precedence; y, m and d are the day's parts.
+ARTICLE_ADDRESSES = [
+    r"t(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})_\d+\.s?html?",
+    r"/art/(?P<y>\d{4})(?:/(?P<m>\d{1,2})/(?P<d>\d{1,2}))?/art_[0-9a-f_]+\.s?html?",
+    r"/(?P<y>\d{4})-(?P<m>\d{1,2})/(?P<d>\d{1,2})/(?:content|c)_\d+\.s?html?",
+    r"/(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})/[0-9a-f]{8,}/c\.s?html?",
+    r"/web/[^\"]*?/(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})\d{4,}/index\.s?html?",
+    r"/(?P<y>\d{4})/(?P<m>\d{2})/(?P<d>\d{2})/ARTI\d+\.s?html?",
+    r"/\d{5,9}/index\.s?html?",
+    r"/(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})\d{4,}/index\.s?html?",
+    r"/(?P<y>\d{4})(?P<m>\d{2})/[0-9a-f]{32}\.s?html?",
+    r"/pnidpv\d+\.s?html?",
+    r"/c\d+/content\.s?html?",
+    r"/portal/article/\d+/[0-9a-f]{8,}",
+    r"/p1/(?:\d+/)+\d+\.s?html?",
+    r"/fabu/xiangqing/\d+\.s?html?",
+    r"/(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})/\d+\.s?html?",
+    r"/safe/(?P<y>\d{4})/(?P<m>\d{2})(?P<d>\d{2})/\d+\.s?html?",
+    r"/(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})/\d+\.s?html?",
+    r"/(?P<y>\d{4})/(?P<m>\d{1,2})/(?P<d>\d{1,2})/[0-9a-f]{32}\.s?html?",
+    r"/columns/[a-f0-9-]{36}/(?P<y>\d{4})(?P<m>\d{2})/(?P<d>\d{2})/[a-f0-9-]{36}\.s?html?",
+    r"/(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})/[0-9a-f]{32}\.s?html?",
+]
+
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
 
 
@@ -62,13 +90,6 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))
 
 
-def list_rows(html: Column, row: str = r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>') -> Column:
-    """H6: rows (href, label, day) of a list page; the day comes from the address if it has one."""
-    part = lambda k: F.regexp_extract_all(html, F.lit(row), F.lit(k))
-    zipped = F.arrays_zip(part(1).alias("href"), part(2).alias("label"))
-    return F.transform(zipped, lambda r: F.struct(r["href"].alias("href"), to_text(r["label"]).alias("label"), url_day(r["href"]).alias("day")))
-
-
 def attachment(html: Column, patterns: list[str] | None = None) -> Column:
     """H9: the first attachment address by ordered patterns."""
     patterns = patterns or [rf'(?i)href="([^"]+\.{e})"' for e in ("pdf", "docx", "doc", "xlsx", "xls", "zip")]
@@ -96,6 +117,12 @@ def cms(html: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def source_status(http: Column, system: Column, held: Column) -> Column:
+    """A source is crawled if documents of it are held; else its answer and page system decide."""
+    answers = http == "200"
+    return F.when(held, "CRAWLED").when(answers & (system != "unknown"), "BUILDABLE").when(answers, "REACHABLE-UNKNOWN-CMS").when(http.isin("403", "412", "406"), "ANTI-BOT").otherwise("BLOCKED")
+
+
 def meta(html: Column, name: str) -> Column:
     """T33x: content of a meta tag."""
     return F.regexp_extract(html, rf'(?is)<meta[^>]+name="{re.escape(name)}"[^>]+content="([^"]*)"', 1)
@@ -196,3 +223,77 @@ def densest_div(htmls: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     for html in htmls:
         yield pd.Series([best(h) for h in html])
+
+
+def list_rows(html: Column, page_url: Column, addresses: list[str] | None = None, before: int = 240, after: int = 60) -> Column:
+    """H6: articles (url, title, day) of a list page, in page order.
+
+    An anchor counts if its address ends like one of the addresses, the first of which gives the day, and stays on the
+    page's host. The title comes from an attribute, else from the anchor's text; a day near the anchor goes before the
+    address's. The first anchor of an address counts, even if it has no title and so gives no row. Null page: no rows;
+    days that don't exist: null.
+    """
+    # Of several ends the first in the list counts, whichever starts earlier in the address.
+    ends = [re.compile(rf"(?:{p})\Z") for p in addresses or ARTICLE_ADDRESSES]
+    opening = re.compile(r'<a\s[^<>]*?\bhref="([^"]*)"[^<>]*>', re.I)
+    closing, attribute, near = re.compile(r"</a>", re.I), re.compile(r'title="([^"]+)"'), re.compile(r"\d{4}-\d{2}-\d{2}")
+
+    def day(y: str, m: str, d: str) -> date | None:
+        try:
+            return date(int(y), int(m), int(d))
+        except ValueError:
+            return None
+
+    def plain(text: str) -> str:
+        return " ".join(entities.unescape(re.sub(r"<[^>]*>", "", text)).split())
+
+    def rows(page: str | None, base: str | None) -> list[dict]:
+        page, base = page or "", base or ""
+        stops, out, seen = [m.start() for m in closing.finditer(page)], [], set()
+        for m in opening.finditer(page):
+            found = next((f for f in (e.search(m[1]) for e in ends) if f), None)
+            k = bisect_left(stops, m.end())
+            if not found or k == len(stops):
+                continue
+            try:
+                url = urljoin(base, entities.unescape(m[1]))
+                inside = urlparse(url).netloc == urlparse(base).netloc and "/../" not in url
+            except ValueError:
+                continue
+            if url in seen:
+                continue
+            seen.add(url)
+            named = attribute.search(page, m.start(), stops[k])
+            title = plain(named[1] if named else page[m.end() : stops[k]])
+            if inside and title:
+                parts = found.groupdict()
+                beside = near.search(page, max(0, m.start() - before), stops[k] + len("</a>") + after)
+                when = day(*beside[0].split("-")) if beside else day(parts["y"], parts.get("m") or "1", parts.get("d") or "1") if "y" in parts else None
+                out.append({"url": url, "title": title, "day": when})
+        return out
+
+    @F.pandas_udf("array<struct<url:string,title:string,day:date>>")
+    def listed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pages, urls in batches:
+            yield pd.Series([rows(p, u) for p, u in zip(pages, urls, strict=True)], dtype=object)
+
+    return listed(html, page_url)
+
+
+@F.pandas_udf(StringType())
+def balanced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The value in braces or square brackets that follows the opening pattern, up to its own end. Brackets inside quoted
+    strings don't count. Null if there is none or it doesn't end."""
+    token = re.compile(r"""\"(?:[^"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[{}\[\]]""", re.S)
+
+    def cut(text: str | None, opening: str) -> str | None:
+        start = re.search(opening + r"(?=[{\[])", text or "")
+        depth = 0
+        for m in token.finditer(text, start.end()) if start else ():
+            depth += (m[0] in "{[") - (m[0] in "}]")
+            if not depth:
+                return text[start.end() : m.end()]
+        return None
+
+    for texts, openings in batches:
+        yield pd.Series([cut(t, o) for t, o in zip(texts, openings, strict=True)], dtype=object)

@@ -85,11 +85,16 @@ def g12_frontier_sources(spark, sf):
     return d.groupBy(F.when(source == "new", F.concat(F.lit("new: "), F.substring("ref", 1, 2))).otherwise(source).alias("source")).agg(F.count("*").alias("refs"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'CRAWLED' WHEN length(html) > 2000 AND contains(html, '</html>') THEN 'BUILDABLE' WHEN length(html) > 2000 THEN 'REACHABLE-UNKNOWN-CMS' WHEN page_id % 3 = 0 THEN 'ANTI-BOT' ELSE 'BLOCKED' END AS status FROM pages")
+@query("SELECT page_id, CASE WHEN l.doc_id IS NOT NULL THEN 'CRAWLED' WHEN code = '200' AND contains(html, '<nav>') AND contains(html, '<article>') THEN 'BUILDABLE' WHEN code = '200' THEN 'REACHABLE-UNKNOWN-CMS' WHEN code IN ('403', '412', '406') THEN 'ANTI-BOT' ELSE 'BLOCKED' END AS status FROM pages LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0 GROUP BY 1) l ON doc_id = page_id LEFT JOIN (SELECT event_id, CASE event_type WHEN 'error' THEN '403' WHEN 'signup' THEN '404' ELSE '200' END AS code FROM events) ON event_id = page_id")
 def h12_source_status(spark, sf):
-    big = F.length("html") > 2000
-    status = F.when(F.col("page_id") % 5 == 0, "CRAWLED").when(big & F.col("html").contains("</html>"), "BUILDABLE").when(big, "REACHABLE-UNKNOWN-CMS").when(F.col("page_id") % 3 == 0, "ANTI-BOT").otherwise("BLOCKED")
-    return S.read(spark, sf, "pages").select("page_id", status.alias("status"))
+    """Answers come from the event of a page's number; a page with a labelled bad document counts as held."""
+    from lexweave.functions import html as H
+
+    answers = S.read(spark, sf, "events").select(F.col("event_id").alias("page_id"), F.when(F.col("event_type") == "error", "403").when(F.col("event_type") == "signup", "404").otherwise("200").alias("code"))
+    held = S.read(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("page_id"), F.lit(True).alias("held")).distinct()
+    p = S.read(spark, sf, "pages").select("page_id", H.cms(F.col("html"), [(r"(?s)<nav>.*<article>", "semantic")]).alias("system"))
+    p = p.join(answers, "page_id", "left").join(held, "page_id", "left")
+    return p.select("page_id", H.source_status(F.coalesce("code", F.lit("000")), F.col("system"), F.coalesce("held", F.lit(False))).alias("status"))
 
 
 @query(with_(DOCUMENTS) + " SELECT id, contains(title, 'the') AS policy, CASE WHEN id % 4 = 0 THEN 'note' ELSE '' END AS note FROM docs WHERE contains(title, 'the') OR (contains(title, 'ing') AND contains(body, 'from')) ORDER BY day DESC, id LIMIT 40")
@@ -257,10 +262,11 @@ def k17_replaced_bodies(spark, sf):
     return C.replace_bodies(d, d.withColumn("body", F.concat(F.lit("New: "), "body")), "id", "body", 2000)
 
 
-@query("SELECT page_id, CASE WHEN length(html) >= 2000 THEN 'live' ELSE 'archive' END AS origin FROM pages")
+@query("SELECT page_id, 'live' AS origin, md5(html) AS body FROM pages WHERE length(html) >= 2000 UNION ALL SELECT doc_id, 'archive', md5(text) FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages WHERE length(html) >= 2000)")
 def s16_live_or_archive(spark, sf):
-    p = S.read(spark, sf, "pages").select("page_id", "html")
-    return files.live_or_archive(p, p, "page_id", "html", F.length("html") >= 2000).select("page_id", "origin")
+    """Pages are live, documents are the archive's bodies of the same ids; short pages aren't usable."""
+    live, archive = S.read(spark, sf, "pages").select("page_id", F.col("html").alias("body")), S.read(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("body"))
+    return files.live_or_archive(live, archive, "page_id", "body", F.length("body") >= 2000).select("page_id", "origin", F.md5("body").alias("body"))
 
 
 @query("SELECT page_id FROM pages UNION SELECT unnest(range((SELECT max(page_id) + 1 FROM pages), (SELECT max(page_id) + 50 FROM pages)))")
@@ -323,11 +329,16 @@ def c05_refreshed_index(spark, sf):
     return fresh.groupBy("doc_id").agg(F.count("*").alias("grams"))
 
 
-@query("WITH " + values("e", "id, sid, name", [(1, "755001", "Office"), (2, None, None)]) + " SELECT * FROM e")
+@query("SELECT page_id, CAST(page_id AS VARCHAR) AS sid, url AS site, id, name FROM (SELECT page_id, url, unnest([1, 2]) AS id, unnest([html[1:9] || '}; ]', 'b' || page_id]) AS name FROM pages)")
 def s17_embedded_config(spark, sf):
-    d = spark.createDataFrame([(1, '<script>var SITE = {"sid": "755001", "name": "Office"};</script>'), (2, "<p>none</p>")], "id int, html string")
-    c = files.embedded_config(F.col("html"), "SITE", "sid string, name string")
-    return d.select("id", c["sid"].alias("sid"), c["name"].alias("name"))
+    """Every page gets a script with an object that isn't JSON, with brackets in strings, and the tree of its sections."""
+    name = F.to_json(F.struct(F.concat(F.substring("html", 1, 9), F.lit("}; ]")).alias("name"), F.lit(1).alias("id")))
+    rest = F.to_json(F.struct(F.lit(2).alias("id"), F.concat(F.lit("b"), F.col("page_id").cast("string")).alias("name"), F.array(F.struct(F.lit(3).alias("id"))).alias("children")))
+    script = F.concat(F.col("html"), F.lit("<script>window._CONFIG = { SID: '"), F.col("page_id").cast("string"), F.lit("', HOST: "), F.to_json(F.struct(F.struct(F.col("url").alias("address")).alias("site"))), F.lit(", TREE: ["), name, F.lit(", "), rest, F.lit("], SERVICE_AREA_ID: {a: '};'} };</script>"))
+    p = S.read(spark, sf, "pages").select("page_id", script.alias("html"))
+    host = files.config_tree(F.col("html"), r"window\._CONFIG", "HOST", "site struct<address: string>")["site"]["address"]
+    tree = files.config_tree(F.col("html"), r"window\._CONFIG", "TREE", "array<struct<id: int, name: string>>")
+    return p.select("page_id", F.regexp_extract("html", r"SID:\s*'(\d+)'", 1).alias("sid"), host.alias("site"), F.inline(tree))
 
 
 @query("WITH " + values("e", "kind, value", [("url", "http://x/a"), ("url", "http://x/b"), ("record", "<a>1</a>"), ("link", "/p/1"), ("link", "/p/2")]) + " SELECT * FROM e")

@@ -357,6 +357,33 @@ def h06_links(spark, sf):
     return S.read(spark, sf, "pages").select("page_id", F.size(h).alias("links_n"), F.get(h, F.lit(0)).alias("first_link"))
 
 
+_HEX = "0123456789abcdef" * 2
+# One anchor of each address: (its end with N for the page's number, the day that the row or the address gives).
+_ROWS = [
+    ("/xw/t20240305_N.html", "2024-03-05"), ("/art/2023/4/9/art_N_1.html", "2023-04-09"), ("/art/2022/art_0aN.html", "2022-01-01"), ("/x/2021-03/04/content_N.shtml", "2021-03-04"), ("/x/20240506/abcdef12N/c.html", "2024-05-06"),
+    ("/web/a/202301021234N/index.shtml", "2023-01-02"), ("/2020/02/29/ARTIN.shtml", "2020-02-29"), ("/s/12345N/index.html", None), ("/s/202402301234N/index.html", None), (f"/s/202211/{_HEX}.html", "2022-11-01"), ("/pnidpvN.html", None),
+    ("/cN/content.html", None), ("/portal/article/2/abcdef12N", None), ("/p1/3/N.html", None), ("/fabu/xiangqing/N.html", None), ("/a/2019-08-07/N.html", "2019-08-07"), ("/safe/2018/0709/N.html", "2018-07-09"), ("/a/20170605/N.html", "2017-06-05"),
+    (f"/a/2016/5/4/{_HEX}.shtml", "2016-05-04"), (f"/columns/{'ab12' * 9}/202306/07/{'cd34' * 9}.html", "2023-06-07"), (f"/a/20150403/{_HEX}.html", "2015-04-03"),
+]
+
+
+@query(
+    "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || replace(r.tail, 'N', CAST(page_id % 1000 AS VARCHAR)) AS url, CASE WHEN r.k % 2 = 0 THEN 'Named & ' || r.k ELSE 'Row ' || r.k || ' of ' || page_id END AS title,"
+    " CASE WHEN r.k % 5 = 4 THEN DATE '2001-02-03' ELSE CAST(r.day AS DATE) END AS day FROM pages, (SELECT unnest([" + ", ".join(f"{{'k': {k}, 'tail': '{t}', 'day': " + (f"'{d}'" if d else "CAST(NULL AS VARCHAR)") + "}" for k, (t, d) in enumerate(_ROWS)) + "]) AS r)"
+)
+def h06_list_rows(spark, sf):
+    """Every page is followed by a list of articles, each anchor twice, one on another host and one without an article's address."""
+    at = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    far, parts = "<p>" + "-" * 300 + "</p>", []
+    for k, (tail, _) in enumerate(_ROWS):
+        address = F.replace(F.lit(tail), F.lit("N"), (F.col("page_id") % 1000).cast("string"))
+        title = F.lit(f' title="Named &amp; {k}"' if k % 2 == 0 else "")
+        parts += [F.lit(f'{far}<li><a class="i" href="'), F.concat(at, address) if k % 3 == 0 else address, F.lit('"'), title, F.lit(f">Row <b>{k}</b>\n of "), F.col("page_id").cast("string"), F.lit("</a>" + (" <i>2001-02-03</i>" if k % 5 == 4 else "") + "</li>")]
+        parts += [F.lit(far + '<a href="'), address, F.lit('">again</a><a href="http://else.example'), address, F.lit('">else</a><a href="/more/">more</a>')]
+    p = S.read(spark, sf, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), *parts).alias("html"))
+    return p.select("page_id", F.inline(H.list_rows(F.col("html"), F.col("url"))))
+
+
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS section, NOT contains(url, '/../') AS same FROM pages")
 def h14_url_parts(spark, sf):
     u = F.col("url")

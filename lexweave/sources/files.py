@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from lexweave.functions.html import balanced
+
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:
     """Columns and filters reach the scan."""
@@ -147,8 +149,14 @@ def live_or_archive(live: DataFrame, archive: DataFrame, key: str, body: str, us
 
 
 def embedded_config(html: Column, name: str, schema: str) -> Column:
-    """A JSON object assigned to a variable in a page's script."""
-    return F.from_json(F.regexp_extract(html, rf"(?s)\b{name}\s*=\s*(\{{.*?\}})\s*;", 1), schema)
+    """A JSON object or list assigned to a variable, or to a key, in a page's script; braces are matched, so values may
+    hold objects, and "};" in strings."""
+    return F.from_json(balanced(html, F.lit(rf"\b{name}\s*[=:]\s*")), schema)
+
+
+def config_tree(html: Column, name: str, key: str, schema: str) -> Column:
+    """The JSON list under a key of a script's object that isn't JSON itself (bare keys, single quotes)."""
+    return embedded_config(balanced(html, F.lit(rf"\b{name}\s*=\s*")), key, schema)
 
 
 def id_range(spark: SparkSession, listing: DataFrame, key: str, ahead: int = 49) -> DataFrame:

@@ -228,3 +228,36 @@ def test_titles_that_share_their_opening_resolve(spark):
     names = [f"see {titles[7][1]} (draft)", "number 0123", titles[9][1], "nothing of it", "titles"]
     got = {(r["name"], r["id"], r["how"]) for r in resolve_titles(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(titles, "id long, title string")).collect()}
     assert got == {(names[0], 7, "title in name"), (names[1], 123, "name in title"), (names[2], 9, "equal"), (names[4], 0, "name in title")}
+
+
+def test_list_rows_of_odd_pages(spark):
+    from lexweave.functions.html import list_rows
+
+    base = "http://a.cn/x/"
+    pages = [
+        (1, None, base), (2, "", base), (3, '<a href="t20240101_1.html">', base), (4, '<a href="t20240101_1.html"><b></b></a><a href="t20240101_1.html">late</a>', base),
+        (5, '<a class=x href="t20241301_1.html"> a\n&amp; b</a><a href="/y/t20240102_2.html" title="T">z</a>', base), (6, '<a href="http://[/t20240101_1.html">q</a>', base), (7, '<a href="t20240101_1.html">x</a>', None),
+        (8, "<a " * 20000 + '<a href="' * 3000, base),
+    ]
+    d = spark.createDataFrame(pages, "id int, html string, url string").select("id", list_rows(F.col("html"), F.col("url")).alias("r"))
+    found = {r["id"]: [(x["url"], x["title"], str(x["day"])) for x in r["r"]] for r in d.collect()}
+    assert found == {
+        1: [], 2: [], 3: [], 4: [], 5: [("http://a.cn/x/t20241301_1.html", "a & b", "None"), ("http://a.cn/y/t20240102_2.html", "T", "2024-01-02")], 6: [],
+        7: [("t20240101_1.html", "x", "2024-01-01")], 8: [],
+    }
+
+
+def test_balanced_values(spark):
+    from lexweave.functions.html import balanced
+
+    rows = [(1, 'v = {"a": {"b": "};"}, "c": [1]}; {'), (2, "v = [[1], ']'] x"), (3, "v = {{}"), (4, None), (5, ""), (6, "w = {}"), (7, "v = {'it\\'s }': 1}")]
+    d = spark.createDataFrame(rows, "id int, t string").select("id", balanced(F.col("t"), F.lit(r"\bv\s*=\s*")).alias("v"))
+    assert {r["id"]: r["v"] for r in d.collect()} == {1: '{"a": {"b": "};"}, "c": [1]}', 2: "[[1], ']']", 3: None, 4: None, 5: None, 6: None, 7: "{'it\\'s }': 1}"}
+
+
+def test_soft_404(spark):
+    from lexweave.functions.html import soft_404
+
+    rows = [(1, None), (2, ""), (3, "Page Not Found"), (4, "fine"), (5, "not found " + "x" * 3000), (6, " " * 3000 + "404")]
+    d = spark.createDataFrame(rows, "id int, t string").select("id", soft_404(F.col("t")).alias("s"))
+    assert {r["id"]: r["s"] for r in d.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True}
