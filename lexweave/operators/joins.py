@@ -145,6 +145,15 @@ def overlap_pairs(careers: DataFrame, group: str, person: str = "person_id", sta
     return pairs.select("grp", F.col("p_a").alias("a"), F.col("p_b").alias("b"), "from_m", "to_m", (F.col("to_m") - F.col("from_m")).alias("months"))
 
 
+def overlaps_of(careers: DataFrame, who: int, group: str, person: str = "person_id", start: str = "start_m", end: str = "end_m", open_months: int = 48, least: int = 1) -> DataFrame:
+    """The pairs of overlap_pairs that one person is in. Only that person's intervals meet those of their groups, so the
+    work is linear in the groups and no pair of other people is built."""
+    rows = careers.filter(F.col(start).isNotNull()).select(F.col(group).alias("grp"), F.col(person).alias("p"), F.col(start).alias("s"), F.coalesce(F.col(end), F.col(start) + open_months).alias("e"))
+    mine = rows.filter(F.col("p") == who).select("grp", F.col("s").alias("from_m"), F.col("e").alias("to_m"))
+    met = rows.filter(F.col("p") != who).join(mine, "grp").select("grp", F.least("p", F.lit(who)).alias("a"), F.greatest("p", F.lit(who)).alias("b"), F.greatest("s", "from_m").alias("from_m"), F.least("e", "to_m").alias("to_m"))
+    return met.withColumn("months", F.col("to_m") - F.col("from_m")).filter(F.col("months") >= least)
+
+
 def zip_shortest(*arrays: Column) -> Column:
     """Arrays side by side, cut to the shortest."""
     n = F.least(*[F.size(a) for a in arrays]) if len(arrays) > 1 else F.size(arrays[0])

@@ -97,22 +97,6 @@ def h12_source_status(spark, sf):
     return p.select("page_id", H.source_status(F.coalesce("code", F.lit("000")), F.col("system"), F.coalesce("held", F.lit(False))).alias("status"))
 
 
-@query(with_(DOCUMENTS) + " SELECT id, contains(title, 'the') AS policy, CASE WHEN id % 4 = 0 THEN 'note' ELSE '' END AS note FROM docs WHERE contains(title, 'the') OR (contains(title, 'ing') AND contains(body, 'from')) ORDER BY day DESC, id LIMIT 40")
-def g13_collection_page(spark, sf):
-    policy, focus = F.col("title").contains("the"), F.col("title").contains("ing") & F.col("body").contains("from")
-    overlay = S.documents(spark, sf).filter("id % 4 = 0").select("id", F.lit("note").alias("note"))
-    d = S.documents(spark, sf).filter(policy | focus).select("id", policy.alias("policy"), "day")
-    return d.join(overlay, "id", "left").select("id", "policy", F.coalesce("note", F.lit("")).alias("note"), "day").orderBy(F.desc("day"), "id").limit(40).drop("day")
-
-
-@query(with_(DOCUMENTS) + ", m AS (SELECT id AS doc_id, CASE WHEN contains(title, 'the') THEN 'T' WHEN contains(title, 'ing') THEN 'I' ELSE '__none__' END AS item_id FROM docs) SELECT item_id, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM m), 3) AS pct, min(doc_id) AS first_doc FROM m GROUP BY 1")
-def g14_annotation_overview(spark, sf):
-    item = F.when(F.col("title").contains("the"), "T").when(F.col("title").contains("ing"), "I").otherwise("__none__")
-    m = S.documents(spark, sf).select("id", item.alias("item_id"))
-    n = m.groupBy("item_id").agg(F.count("*").alias("n"), F.min("id").alias("first_doc"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all_n")))).select("item_id", "n", F.round(F.lit(100.0) * F.col("n") / F.col("all_n"), 3).alias("pct"), "first_doc")
-
-
 @query("SELECT 'N' || n_nationkey AS leaf, 'root/R' || n_regionkey || '/N' || n_nationkey AS path FROM nation")
 def g09_tree_leaves(spark, sf):
     n, r = S.read(spark, sf, "nation"), S.read(spark, sf, "region")

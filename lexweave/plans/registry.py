@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import more, official, relations, reports, texts
+from lexweave.plans import assembly, more, official, relations, reports, texts
 
-BOOKS = [reports.BOOK, relations.BOOK, texts.BOOK, more.BOOK, official.BOOK]
+BOOKS = [reports.BOOK, relations.BOOK, texts.BOOK, more.BOOK, official.BOOK, assembly.BOOK]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -187,7 +187,7 @@ def j07_overlaps_with_names(spark, sf):
 
 @query(with_(CAREERS, _PAIRS) + "SELECT CASE WHEN a = 7 THEN b ELSE a END AS other, count(*) AS n FROM pairs WHERE a = 7 OR b = 7 GROUP BY 1")
 def j08_other_endpoint(spark, sf):
-    p = J.overlap_pairs(S.careers(spark, sf), "organization").filter("a = 7 or b = 7")
+    p = J.overlaps_of(S.careers(spark, sf), 7, "organization")
     return p.groupBy(F.when(F.col("a") == 7, F.col("b")).otherwise(F.col("a")).alias("other")).agg(F.count("*").alias("n"))
 
 
@@ -401,14 +401,6 @@ def g08_closure(spark, sf):
     return G.closure(tree.unionByName(spark.createDataFrame([("root", None)], "id string, parent_id string")))
 
 
-@query(with_(CAREERS, _PAIRS) + "SELECT 'careers' AS part, count(*) AS n FROM careers WHERE person_id = 11 UNION ALL SELECT 'overlaps', count(*) FROM pairs WHERE a = 11 OR b = 11 UNION ALL SELECT 'colleagues', count(DISTINCT CASE WHEN a = 11 THEN b ELSE a END) FROM pairs WHERE a = 11 OR b = 11")
-def g11_profile(spark, sf):
-    c = S.careers(spark, sf)
-    p = J.overlap_pairs(c, "organization").filter("a = 11 or b = 11")
-    part = lambda df, name, agg: df.agg(agg.alias("n")).select(F.lit(name).alias("part"), "n")
-    return part(c.filter("person_id = 11"), "careers", F.count("*")).unionByName(part(p, "overlaps", F.count("*"))).unionByName(part(p, "colleagues", F.count_distinct(F.when(F.col("a") == 11, F.col("b")).otherwise(F.col("a")))))
-
-
 # Search
 
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"

@@ -256,11 +256,6 @@ def a41_keyword_hits(spark, sf):
     return wide.select(F.inline(F.array(*[F.col(f"t{i}") for i in range(len(terms))])))
 
 
-@query(with_(CHANGES) + "SELECT site_key, count(*) AS n FROM changes WHERE sync_run_id = '2024-01-15' GROUP BY 1 ORDER BY n DESC, site_key LIMIT 5")
-def a42_daily_report(spark, sf):
-    return S.changes(spark, sf).filter("sync_run_id = '2024-01-15'").groupBy("site_key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site_key").limit(5)
-
-
 @query(with_(EDGES) + "SELECT target_ref, count(*) AS n FROM edges WHERE target_id IS NULL AND citation_type = 'named' AND length(target_ref) BETWEEN 3 AND 5 GROUP BY 1 ORDER BY n DESC, target_ref LIMIT 50")
 def a43_top_dangling(spark, sf):
     e = S.edges(spark, sf).filter(F.col("target_id").isNull() & (F.col("citation_type") == "named") & F.length("target_ref").between(3, 5))

@@ -261,3 +261,56 @@ def test_soft_404(spark):
     rows = [(1, None), (2, ""), (3, "Page Not Found"), (4, "fine"), (5, "not found " + "x" * 3000), (6, " " * 3000 + "404")]
     d = spark.createDataFrame(rows, "id int, t string").select("id", soft_404(F.col("t")).alias("s"))
     assert {r["id"]: r["s"] for r in d.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True}
+
+
+def test_overlaps_of_one_person_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 12), rng.choice(["a", "b", None]), s, rng.choice([None, s - 3, s, s + rng.randint(1, 80)])) for s in (rng.choice([None, rng.randint(24000, 24200)]) or 24100 for _ in range(80))]
+    careers = spark.createDataFrame(rows, "person_id int, org string, start_m int, end_m int")
+    columns = ["grp", "a", "b", "from_m", "to_m", "months"]
+    every = J.overlap_pairs(careers, "org").filter("a = 5 or b = 5").select(columns)
+    assert sorted(map(tuple, J.overlaps_of(careers, 5, "org").select(columns).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_pages_of_empty_and_null_rows(spark):
+    from lexweave.operators import assembly as A
+
+    careers = spark.createDataFrame([(1, None, None, None, None), (1, " ", "p", 10, None), (2, "o", "p", 5, 9), (None, None, "p", None, None)], "person_id long, organization string, province string, start_m int, end_m int")
+    people = spark.createDataFrame([(2, "two")], "person_id long, name string")
+    found = {(r["part"], r["place"], r["other"], r["n"]) for r in A.profile(careers, people, 1).collect()}
+    assert found == {("career", None, None, None), ("career", "p", None, None), ("government", "p", None, 1), ("colleague", "p", 2, 1)}
+    assert A.profile(careers, people, 9).count() == 0
+
+    docs = spark.createDataFrame([(1, "u", "s", None, None, None), (2, "u", "s", None, "pol", "b  b"), (3, None, "s", None, "pol", ""), (4, "v", None, None, "foc", None), (5, "w", "s", None, "none", None)], "id int, url string, site_key string, day date, title string, body string")
+    sites, overlay = spark.createDataFrame([], "site_key string, admin_level string"), spark.createDataFrame([("v", "", "x")], "url string, tag string, note string")
+    rows = A.collection(docs, sites, overlay, F.col("title") == "pol", F.col("id").isin(1, 4), [("foc", "F")], ["ol"], "else")
+    assert {r["url"]: (r["id"], r["tier"], r["in_policy"], r["in_focus"], r["tag"], r["note"], r["china"], r["snippet"]) for r in rows.collect()} == {"u": (2, None, True, True, "else", "", True, "b b"), "v": (4, None, False, True, "F", "x", False, "")}
+    assert {(r["kind"], r["key"]): r["n"] for r in A.collection_counts(rows).collect()} == {("site", "s"): 1, ("total", "all"): 2, ("total", "in_policy"): 1, ("total", "in_focus"): 2, ("total", "china"): 1}
+    assert A.collection_counts(rows.limit(0)).count() == 0
+
+    mapping, taxonomy = spark.createDataFrame([], "doc_id int, item_id string"), spark.createDataFrame([("t", "g")], "item_id string, category string")
+    assert [tuple(r) for r in A.annotation_overview(mapping, taxonomy).collect()] == [("t", "g", 0, 0.0, 0, 0)]
+    again = spark.createDataFrame([(1, "t"), (1, "t"), (2, "t"), (3, "__none__")], "doc_id int, item_id string")
+    ranked = spark.createDataFrame([(1, None), (2, 5.0), (3, 1.0)], "doc_id int, rank double")
+    assert [(r["place"], r["doc_id"], r["linked"]) for r in A.annotation_items(again, ranked).orderBy("place").collect()] == [(1, 2, 2), (2, 1, 2)]
+
+    report = spark.createDataFrame([], "id int, site_key string, importance string, crawled date, written timestamp")
+    assert A.daily_report(report, "2024-01-15").count() == 0
+
+
+def test_sites_of_branches(spark):
+    from lexweave.operators import assembly as A
+
+    rules = spark.createDataFrame([("ab", "x", False), ("a", "y", False), ("a", "z", True), ("q", "other", True)], "rule string, leaf string, exact boolean")
+    sites = spark.createDataFrame([("a",), ("a",), ("abc",), ("ac",), ("q",), ("r",), ("",)], "site_key string")
+    assert {r["site_key"]: (r["leaf"], r["unmapped"]) for r in A.classified_sites(sites, rules).collect()} == {"a": ("z", False), "abc": ("x", False), "ac": ("y", False), "q": ("other", False), "r": ("other", True), "": ("other", True)}
+    tree = spark.createDataFrame([("top", None), ("x", "top"), ("y", "top"), ("z", None), ("other", None)], "id string, parent_id string")
+    inside = lambda node: {r["site_key"] for r in A.branch_sites(sites, rules, tree, node).filter("inside").collect()}
+    assert (inside("top"), inside("z"), inside("nosuch")) == ({"abc", "ac"}, {"a"}, set())
+
+
+def test_item_limit_comes_before_the_shuffle(spark, sf_dir):
+    from lexweave.plans import assembly
+
+    plan = assembly.BOOK.queries["g14_annotation_items"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan[plan.index("WindowGroupLimit") :]
