@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date
+from itertools import accumulate
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
@@ -213,13 +214,15 @@ def densest_div(htmls: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 stack.append((m[2].lower(), m.end(), len(stack)))
         source = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", html or "")
         clean = lambda s: " ".join(re.sub(r"<[^>]+>", " ", s).split())
-        texts = [(a, b, clean(source[a:b])) for t, a, b, _ in spans if t == "p"]
-        boxes = [(sum(len(x) for p, q, x in texts if a <= p and q <= b), d, a, b) for t, a, b, d in spans if t != "p"]
+        texts = sorted((a, b, clean(source[a:b])) for t, a, b, _ in spans if t == "p")
+        # Spans nest, so the paragraphs of a box are those that start in it.
+        starts, sizes = [a for a, *_ in texts], [0, *accumulate(len(x) for *_, x in texts)]
+        boxes = [(sizes[bisect_left(starts, b)] - sizes[bisect_left(starts, a)], d, a, b) for t, a, b, d in spans if t != "p"]
         if not boxes or not max(boxes)[0]:
-            return "\n".join(x for *_, x in sorted(texts) if x)
+            return "\n".join(x for *_, x in texts if x)
         most = max(boxes)[0]
         _, _, a, b = max((x for x in boxes if x[0] >= 0.9 * most), key=lambda x: (x[1], -x[2]))
-        return "\n".join(x for p, q, x in sorted(texts) if a <= p and q <= b and x)
+        return "\n".join(x for p, q, x in texts if a <= p and q <= b and x)
 
     for html in htmls:
         yield pd.Series([best(h) for h in html])

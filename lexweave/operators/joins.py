@@ -145,6 +145,34 @@ def overlap_pairs(careers: DataFrame, group: str, person: str = "person_id", sta
     return pairs.select("grp", F.col("p_a").alias("a"), F.col("p_b").alias("b"), "from_m", "to_m", (F.col("to_m") - F.col("from_m")).alias("months"))
 
 
+def overlap_totals(careers: DataFrame, group: str, person: str = "person_id", start: str = "start_m", end: str = "end_m", open_months: int = 48) -> DataFrame:
+    """(grp, person, overlaps, months): how many rows of overlap_pairs a person has in a group, and their months in all,
+    without the pairs.
+
+    Of a group's intervals those overlap one from s to e that start before e, without those that end by s; the months are
+    what a running sum of the active ones grows by from s to e. Both are read from running sums over the group's distinct
+    months, so the work is linear, whatever the size of a group. A person's own intervals are taken off the same way.
+    """
+    rows = careers.filter(F.col(start).isNotNull() & F.col(group).isNotNull() & F.col(person).isNotNull()).select(F.col(group).alias("grp"), F.col(person).alias("person"), F.col(start).cast("long").alias("s"), F.coalesce(F.col(end), F.col(start) + open_months).cast("long").alias("e")).filter("e > s")
+    marks = rows.select("grp", "person", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("opens")), F.struct(F.col("e").alias("at"), F.lit(0).alias("opens")))).alias("m")).select("grp", "person", "m.*")
+    marks = marks.groupBy("grp", "person", "at").agg(F.sum("opens").alias("opened"), F.sum(1 - F.col("opens")).alias("closed"))
+
+    def sums(keys: list[str]) -> DataFrame:
+        points = marks.groupBy(*keys, "at").agg(F.sum("opened").alias("o"), F.sum("closed").alias("c"))
+        run = lambda x: F.sum(x).over(Window.partitionBy(*keys).orderBy("at"))
+        at = F.col("at")
+        active = at * run(F.col("o") - F.col("c")) - run(at * (F.col("o") - F.col("c")))
+        return points.select(*keys, "at", (run("o") - F.col("o")).alias("before"), run("c").alias("done"), active.alias("active"))
+
+    def totals(keys: list[str]) -> DataFrame:
+        met = marks.join(sums(keys), [*keys, "at"])
+        n = F.col("closed") * F.col("before") - F.col("opened") * F.col("done")
+        return met.select("grp", "person", n.alias("overlaps"), ((F.col("closed") - F.col("opened")) * F.col("active")).alias("months"))
+
+    own = totals(["grp", "person"]).select("grp", "person", (-F.col("overlaps")).alias("overlaps"), (-F.col("months")).alias("months"))
+    return totals(["grp"]).unionByName(own).groupBy("grp", "person").agg(F.sum("overlaps").alias("overlaps"), F.sum("months").alias("months")).filter("overlaps > 0")
+
+
 def overlaps_of(careers: DataFrame, who: int, group: str, person: str = "person_id", start: str = "start_m", end: str = "end_m", open_months: int = 48, least: int = 1) -> DataFrame:
     """The pairs of overlap_pairs that one person is in. Only that person's intervals meet those of their groups, so the
     work is linear in the groups and no pair of other people is built."""

@@ -314,3 +314,22 @@ def test_item_limit_comes_before_the_shuffle(spark, sf_dir):
 
     plan = assembly.BOOK.queries["g14_annotation_items"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan[plan.index("WindowGroupLimit") :]
+
+
+def test_overlap_totals_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(1, 9)]), rng.choice(["a", "b", None]), s, rng.choice([None, s - 3, s, s + rng.randint(1, 80)])) for s in (rng.randint(24000, 24150) for _ in range(120))]
+    careers = spark.createDataFrame([*rows, rows[0], (3, "a", None, 24100)], "person_id int, org string, start_m int, end_m int")
+    pairs = J.overlap_pairs(careers, "org").select("grp", F.explode(F.array("a", "b")).alias("person"), "months")
+    expected = {tuple(r) for r in pairs.groupBy("grp", "person").agg(F.count("*"), F.sum("months")).collect()}
+    assert expected == {tuple(r) for r in J.overlap_totals(careers, "org").select("grp", "person", "overlaps", "months").collect()}
+    assert J.overlap_totals(careers.limit(0), "org").count() == 0
+
+
+def test_densest_block_is_the_innermost_of_the_largest(spark):
+    from lexweave.functions.html import densest_div
+
+    page = "<div id=out><p>" + "n" * 5 + "</p><div id=in><p>" + "a" * 60 + "<p>" + "b" * 40 + "</p></div></div><div><p>side</p></div>"
+    pages = [(1, page), (2, None), (3, ""), (4, "<p>alone</p>"), (5, "<div>" * 3000 + "<p>x</p>" * 3000)]
+    found = {r["id"]: r["t"] for r in spark.createDataFrame(pages, "id int, html string").select("id", densest_div("html").alias("t")).collect()}
+    assert found == {1: "a" * 60 + "\n" + "b" * 40, 2: "", 3: "", 4: "alone", 5: "\n".join("x" * 3000)}
