@@ -16,7 +16,7 @@ from lexweave.operators import graph as G
 from lexweave.operators import joins as J
 from lexweave.plans import standins as S
 from lexweave.plans.relations import snapshots
-from lexweave.plans.standins import CHANGES, DOCUMENTS, EDGES, ITEMS, SITES, with_
+from lexweave.plans.standins import CAREERS, CHANGES, DOCUMENTS, EDGES, ITEMS, SITES, with_
 from lexweave.plans.texts import any_word, values
 from lexweave.sources import files, sinks
 
@@ -34,6 +34,25 @@ def t36_career_records(spark, sf):
     return K.career_records(spark.createDataFrame(LIVES, "person_id int, career_text string")).drop("pos", "raw_text")
 
 
+_Y, _M = "(start_m - 1) // 12", "(start_m - 1) % 12 + 1"
+
+
+@query(
+    with_(CAREERS) + f""", r AS (SELECT person_id, term, term % 3 AS form, CAST({_Y} AS INTEGER) AS start_year, CASE WHEN term % 3 <> 1 THEN CAST({_M} AS INTEGER) END AS start_month FROM careers)
+ SELECT person_id, ['宝安区区长', '办公厅副主任', '委书记'][form + 1] AS position, ['深圳市', '国务院', '广东省'][form + 1] AS organization, CASE form WHEN 2 THEN '广东' END AS province, ['district', 'central', 'provincial'][form + 1] AS admin_level,
+ start_year, start_month, CASE form WHEN 2 THEN lead(start_year) OVER w ELSE start_year + 2 END AS end_year, CASE form WHEN 2 THEN lead(start_month) OVER w WHEN 0 THEN 12 END AS end_month FROM r WINDOW w AS (PARTITION BY person_id ORDER BY term)"""
+)
+def t36_careers_of_people(spark, sf):
+    """A text of lines for each person, a line for each record, in the three forms; prose has no end but the next line's start."""
+    c = S.careers(spark, sf)
+    year, month = F.floor((F.col("start_m") - 1) / 12), (F.col("start_m") - 1) % 12 + 1
+    dotted = F.format_string("%d.%02d-%d.12 深圳市宝安区区长", year, month.cast("int"), year + 2)
+    years, prose = F.format_string("%d-%d年 国务院办公厅副主任", year, year + 2), F.format_string("%d年%d月任广东省委书记。", year, month.cast("int"))
+    line = F.when(F.col("term") % 3 == 0, dotted).when(F.col("term") % 3 == 1, years).otherwise(prose)
+    texts = c.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("term", line.alias("line")))).alias("lines")).select("person_id", F.array_join("lines.line", "\n").alias("career_text"))
+    return K.career_records(texts).drop("pos", "raw_text")
+
+
 @query("WITH " + values("e", "id, t", [(1, "1975.09-1978.12 某市某局局长某某"), (2, "他曾长期担任某某省某某市某某区委书记兼任多种职务"), (3, "described")]) + " SELECT * FROM e")
 def t38_career_texts(spark, sf):
     d = spark.createDataFrame([(1, "生平\n 1975.09-1978.12 某市某局局长某某\n短 1975", None), (2, "第一行\n他曾长期担任某某省某某市某某区委书记兼任多种职务", "x"), (3, "nothing", "described")], "id int, page string, about string")
@@ -264,9 +283,17 @@ def s15_feed_items(spark, sf):
     return spark.createDataFrame([(xml,)], "x string").select(F.inline(files.rss_items(F.col("x"))))
 
 
-@query("WITH " + values("e", "id, title", [(1, "a"), (2, "b")]) + " SELECT * FROM e")
+@query("SELECT doc_id AS id, md5(split_part(text, chr(10), 1)) AS title FROM documents")
 def s13_paged_items(spark, sf):
-    return files.paged_items(spark.createDataFrame([('{"items":[{"id":1,"title":"a"},{"id":2,"title":"b"}]}',), ("bad",)], "body string"), "id int, title string")
+    """Answers of twenty documents each, then the last one again on five more pages, and one that isn't JSON."""
+    d = S.read(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).alias("page"), F.struct(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title")).alias("item"))
+    total = F.broadcast(S.read(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("total")))
+    body = F.to_json(F.struct("total", "items"))
+    answers = d.groupBy("page").agg(F.collect_list("item").alias("items")).crossJoin(total).select("page", body.alias("body"), "total")
+    more = answers.filter(F.col("page") == F.floor((F.col("total") - 1) / 20)).select(F.explode(F.sequence(F.col("page") + 1, F.col("page") + 5)).alias("page"), "body")
+    bad = spark.createDataFrame([(1, "bad")], "page long, body string")
+    found = files.paged_items(files.counted_pages(answers.select("page", "body").union(more).union(bad), 20), "id long, title string")
+    return found.select("id", F.md5("title").alias("title"))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'pdf' WHEN user_id % 4 = 1 THEN 'docx' WHEN user_id % 4 = 2 THEN 'doc' ELSE 'unknown' END AS kind FROM events")

@@ -87,7 +87,7 @@ def xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def raw_html(spark: SparkSession, path: str) -> DataFrame:
     """Path and whole text of each file; bytes that aren't UTF-8 are replaced."""
-    return spark.read.format("binaryFile").load(path).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("valid"), F.make_valid_utf8(F.col("content").cast("string")).alias("html")).drop("valid")
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
 def magic_type(content: Column) -> Column:
@@ -125,6 +125,13 @@ def paged_items(answers: DataFrame, schema: str, items: str = "items") -> DataFr
     return answers.select(F.from_json("body", f"{items} array<struct<{schema}>>").alias("j")).select(F.inline(F.col(f"j.{items}")))
 
 
+def counted_pages(answers: DataFrame, per_page: int, total: str = "total") -> DataFrame:
+    """The answers (page from 0, body) up to the page that the first answer's total makes the last: some interfaces repeat
+    their last page for ever. Without a readable total all pages stay."""
+    first = answers.filter("page = 0").agg(F.max(F.ceil(F.from_json("body", f"{total} long")[total] / per_page)).alias("__pages"))
+    return answers.crossJoin(F.broadcast(first)).filter(F.col("__pages").isNull() | (F.col("page") < F.col("__pages"))).drop("__pages")
+
+
 def rss_items(xml: Column) -> Column:
     """Array of (title, link, day) of a feed; CDATA marks go."""
     part = lambda tag: F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<item\b.*?</item>"), F.lit(0)), lambda i: F.trim(F.regexp_replace(F.regexp_extract(i, rf"(?s)<{tag}>(.*?)</{tag}>", 1), r"<!\[CDATA\[|\]\]>", "")))

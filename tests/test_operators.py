@@ -333,3 +333,38 @@ def test_densest_block_is_the_innermost_of_the_largest(spark):
     pages = [(1, page), (2, None), (3, ""), (4, "<p>alone</p>"), (5, "<div>" * 3000 + "<p>x</p>" * 3000)]
     found = {r["id"]: r["t"] for r in spark.createDataFrame(pages, "id int, html string").select("id", densest_div("html").alias("t")).collect()}
     assert found == {1: "a" * 60 + "\n" + "b" * 40, 2: "", 3: "", 4: "alone", 5: "\n".join("x" * 3000)}
+
+
+def test_other_files_come_back(spark, tmp_path):
+    from lexweave.sources import files, sinks
+
+    at = f"file://{tmp_path}"
+    (tmp_path / "c.json").write_text('{"a":\n [1, 2], "b": {"c": "x"}}')
+    assert files.json_config(spark, f"{at}/c.json").select("a", "b.c").first() == ([1, 2], "x")
+    (tmp_path / "l.jsonl").write_text('{"a": 1, "t": "x"}\nbad\n{"a": null}\n')
+    assert [tuple(r) for r in files.json_lines(spark, f"{at}/l.jsonl", "a int, t string").collect()] == [(1, "x"), (None, None), (None, None)]
+
+    df = spark.createDataFrame([(1, "x\ny", "s"), (2, None, "t"), (3, "", "t")], "id int, t string, g string")
+    rows = sorted(map(tuple, df.collect()), key=repr)
+    sinks.json(df, f"{at}/j")
+    assert sorted(map(tuple, files.json_lines(spark, f"{at}/j", df.schema).collect()), key=repr) == rows
+    for parts in (None, ["g"]):
+        sinks.overwrite(df, f"{at}/p", parts)
+        assert sorted(map(tuple, files.parquet(spark, f"{at}/p").select("id", "t", "g").collect()), key=repr) == rows
+    sinks.append(df, f"{at}/a")
+    sinks.append(df.limit(1), f"{at}/a")
+    assert files.optional(spark, f"{at}/a", df.schema).count() == 4
+    assert sorted(map(tuple, files.parquet(spark, sinks.snapshot(df, f"{at}/s", "2024-01-05")).collect()), key=repr) == rows
+
+    sinks.html_files(spark.createDataFrame([("s", "<p>a\nb</p>")], "site_key string, html string"), f"{at}/h")
+    assert files.raw_html(spark, f"{at}/h/site_key=s").first()["html"].rstrip("\0") == "<p>a\nb</p>"
+
+
+def test_counted_pages(spark):
+    from lexweave.sources import files
+
+    pages = lambda rows: sorted(r["page"] for r in files.counted_pages(spark.createDataFrame(rows, "page int, body string"), 2).collect())
+    assert pages([(0, '{"total": 3}'), (1, "x"), (2, "again"), (3, None)]) == [0, 1]
+    assert pages([(0, "bad"), (1, None)]) == [0, 1]
+    assert pages([(0, '{"total": 0}')]) == []
+    assert pages([]) == []
