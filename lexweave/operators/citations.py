@@ -41,7 +41,8 @@ def build_citations(docs: DataFrame, sites: DataFrame) -> DataFrame:
     """T14x: docs (id, site_key, title, number, body, references array) and sites (site_key, admin_level) ->
     source_id, target_ref, target_id, citation_type, source_level, target_level.
 
-    Texts are read once: what was extracted is written, and so are the edges by number, which two later steps read. Kinds
+    Texts are read once: what was extracted is written. So is what each later step finds (vocabulary, canonical forms, edges
+    by number, names, their titles), so the driver never plans more than one step and none is computed twice. Kinds
     are formal, named and llm. References to the document itself don't count; an llm reference that the patterns found too
     doesn't either.
     """
@@ -53,7 +54,10 @@ def build_citations(docs: DataFrame, sites: DataFrame) -> DataFrame:
     titles = docs.select(T.norm_title(F.col("title")).alias("title"), "id").filter("title <> ''")
 
     raw = base.select(F.col("id").alias("source_id"), F.coalesce("number", F.lit("")).alias("own_number"), "source_level", F.explode("formal").alias("ref"))
-    formal = canonical_refs(raw, known_abbreviations(keys, raw.select("ref"))).filter(F.col("canonical") != F.col("own_number"))
+    refs = materialize(raw.select("ref").distinct(), "references")
+    known = materialize(known_abbreviations(keys, refs), "abbreviations")
+    canonical = materialize(canonical_refs(refs, known).select("ref", "canonical"), "canonical-references")
+    formal = raw.join(canonical, "ref").filter(F.col("canonical") != F.col("own_number"))
     formal = two_keys(formal.select("source_id", F.col("canonical").alias("target_ref"), "source_level").distinct(), keys, F.col("target_ref"), T.norm_docnum(F.col("target_ref")))
     formal = materialize(formal, "formal-references").filter("target_id is null or target_id <> source_id").withColumn("citation_type", F.lit("formal")).withColumn("target_level", T.admin_level(F.col("target_ref")))
 
@@ -62,7 +66,7 @@ def build_citations(docs: DataFrame, sites: DataFrame) -> DataFrame:
     told = told.join(named.select("source_id", "target_ref"), ["source_id", "target_ref"], "left_anti").join(formal.select("source_id", "target_ref"), ["source_id", "target_ref"], "left_anti").withColumn("citation_type", F.lit("llm"))
     names = named.unionByName(told).withColumn("name", T.norm_title(F.col("target_ref"))).filter(F.col("name") != F.col("own"))
     names = materialize(names, "named-references")
-    found = resolve_titles(names.select("name"), titles)
+    found = materialize(resolve_titles(names.select("name"), titles), "resolved-titles")
     by_name = names.join(found.select("name", F.col("id").alias("target_id")), "name", "left").filter("target_id is null or target_id <> source_id").withColumn("target_level", T.named_level(F.col("target_ref")))
 
     columns = ["source_id", "target_ref", "target_id", "citation_type", "source_level", "target_level"]

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
-from lexweave.session import text_batches
+from lexweave.session import materialize, text_batches
 
 
 def prefix_rule_join(rows: DataFrame, key: str, rules: DataFrame, rule_key: str = "rule", value: str = "value", exact: str = "exact", otherwise: str = "other") -> DataFrame:
@@ -48,7 +48,7 @@ def resolve_titles(names: DataFrame, titles: DataFrame, least_title: int = 8, le
     First an equal title; then the longest title of least_title characters that is part of the name, leftmost on ties;
     then the shortest title that the name is part of, the smallest id on ties. Candidates come from seeds: what is part of
     something else is looked up by the rarest of its windows, so openings that many titles share don't pile up, and is then
-    verified. Nothing is lost, as all windows of the longer side are looked up.
+    verified. Nothing is lost, as all windows of the longer side are looked up. What several steps read is written between them.
     """
 
     def windows(df: DataFrame, c: str, size: int) -> DataFrame:
@@ -58,15 +58,15 @@ def resolve_titles(names: DataFrame, titles: DataFrame, least_title: int = 8, le
         counted = grams.join(frequency, "gram", "left")
         return counted.groupBy(c).agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "pos")).alias("gram"))
 
-    t = titles.filter(F.length("title") > 0).groupBy("title").agg(F.min("id").alias("id"))
-    n = names.select("name").filter(F.length("name") > 0).distinct()
+    t = materialize(titles.filter(F.length("title") > 0).groupBy("title").agg(F.min("id").alias("id")), "titles")
+    n = materialize(names.select("name").filter(F.length("name") > 0).distinct(), "names")
     equal = n.join(t, n.name == t.title).select("name", "id", F.lit("equal").alias("how"))
-    rest = n.join(equal, "name", "left_anti")
+    rest = materialize(n.join(equal, "name", "left_anti"), "names-without-equal")
     long_titles = t.filter(F.length("title") >= least_title)
     wide = windows(long_titles, "title", least_title)
     seeds = rarest(wide, "title", wide.groupBy("gram").agg(F.count("*").alias("df"))).join(long_titles, "title")
     inside = windows(rest, "name", least_title).select("name", "gram").distinct().join(seeds, "gram").withColumn("at", F.instr("name", F.col("title"))).filter("at > 0")
-    inside = inside.groupBy("name").agg(F.max_by("id", F.struct(F.length("title"), -F.col("at"))).alias("id")).select("name", "id", F.lit("title in name").alias("how"))
+    inside = materialize(inside.groupBy("name").agg(F.max_by("id", F.struct(F.length("title"), -F.col("at"))).alias("id")).select("name", "id", F.lit("title in name").alias("how")), "titles-in-names")
     rest = rest.join(inside, "name", "left_anti").filter(F.length("name") >= least_name)
     grams = windows(long_titles, "title", least_name).select("title", "gram").distinct()
     rare = rarest(windows(rest, "name", least_name), "name", grams.groupBy("gram").agg(F.count("*").alias("df")))
