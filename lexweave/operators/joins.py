@@ -145,6 +145,48 @@ def overlap_pairs(careers: DataFrame, group: str, person: str = "person_id", sta
     return pairs.select("grp", F.col("p_a").alias("a"), F.col("p_b").alias("b"), "from_m", "to_m", (F.col("to_m") - F.col("from_m")).alias("months"))
 
 
+#: Intervals of a person that a pairing compares in one expression, people of a group in a block, and comparisons in a task.
+WIDTH, CROWD, TASK_PAIRS = 4, 2048, 1 << 25
+
+
+def longest_overlaps(careers: DataFrame, group: str, person: str = "person_id", start: str = "start_m", end: str = "end_m", open_months: int = 48, least: int = 1, names: DataFrame | None = None, crowd: int = CROWD) -> DataFrame:
+    """(grp, a, b, months): the longest interval that two people (a < b) share in a group, a row a pair and group; with
+    names (person, name) also name_a and name_b, of people who have one.
+
+    A person's intervals, WIDTH to a row, stand side by side, so a pair's longest overlap is one expression and no pair is
+    shuffled. People are shuffled instead: a group is dealt into blocks of about crowd people, and each two blocks meet in
+    a task. Only pairs with somebody of more intervals are grouped afterwards.
+    """
+    rows = careers.filter(F.col(start).isNotNull() & F.col(group).isNotNull() & F.col(person).isNotNull()).select(F.col(group).alias("grp"), F.col(person).alias("p"), F.col(start).alias("s"), F.coalesce(F.col(end), F.col(start) + open_months).alias("e")).filter("e > s")
+    each = rows.groupBy("grp", "p").agg(F.collect_set(F.struct("s", "e")).alias("x"))
+    if names is not None:
+        each = each.join(names.select(F.col("person").alias("p"), F.col("name")), "p")
+    each = materialize(each, "people")
+    sizes = each.groupBy("grp").agg(F.sum(F.ceil(F.size("x") / WIDTH)).alias("n"), F.max(F.size("x")).alias("most"))
+    work, most = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.max("most")).first()
+    width = min(most or 1, WIDTH)
+    at = lambda i, c, none: F.coalesce(F.get("x", F.col("k") * width + i)[c], F.lit(none).cast(rows.schema[c].dataType)).alias(f"{c}{i}")
+    flat = each.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / width).cast("int")))).withColumn("single", F.size("x") <= width)
+    far = 1 << 29
+    flat = flat.select("grp", "p", "single", *["name"] * (names is not None), *[at(i, c, none) for i in range(width) for c, none in (("s", far), ("e", -far))])
+    flat = flat.join(sizes.select("grp", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = max(each.sparkSession.sparkContext.defaultParallelism, min(2000, int((work or 0) / TASK_PAIRS)))
+
+    def side(mark: str, i: str, j: str) -> DataFrame:
+        keep = [c for c in flat.columns if c not in ("grp", "blocks", "own", "other")]
+        return flat.select("grp", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{c}_{mark}") for c in keep]).repartition(tasks, "grp", "i", "j")
+
+    shared = [F.least(f"e{x}_a", f"e{y}_b") - F.greatest(f"s{x}_a", f"s{y}_b") for x in range(width) for y in range(width)]
+    met = side("a", "own", "other").hint("merge").join(side("b", "other", "own"), ["grp", "i", "j"]).filter(F.col("p_a") < F.col("p_b")).withColumn("months", F.greatest(*shared) if len(shared) > 1 else shared[0]).filter(F.col("months") >= least)
+    columns = ["grp", F.col("p_a").alias("a"), F.col("p_b").alias("b"), "months", *[f"name_{k}" for k in "ab" if names is not None]]
+    pairs = met.filter("single_a and single_b") if most and most > width else met
+    pairs = pairs.select(*columns)
+    if not most or most <= width:
+        return pairs
+    many = met.filter("not (single_a and single_b)").select(*columns)
+    return pairs.unionByName(many.groupBy([c for c in many.columns if c != "months"]).agg(F.max("months").alias("months")))
+
+
 def overlap_totals(careers: DataFrame, group: str, person: str = "person_id", start: str = "start_m", end: str = "end_m", open_months: int = 48) -> DataFrame:
     """(grp, person, overlaps, months): how many rows of overlap_pairs a person has in a group, and their months in all,
     without the pairs.

@@ -180,9 +180,8 @@ def a26_overlaps_by_place(spark, sf):
 
 @query(with_(CAREERS, _PAIRS) + "SELECT a, b, grp, max(months) AS months, max(x.c_name) AS name_a, max(y.c_name) AS name_b FROM pairs JOIN customer x ON a = x.c_custkey JOIN customer y ON b = y.c_custkey GROUP BY 1, 2, 3")
 def j07_overlaps_with_names(spark, sf):
-    best = J.overlap_pairs(S.careers(spark, sf), "organization").groupBy("a", "b", "grp").agg(F.max("months").alias("months"))
-    name = lambda k: S.read(spark, sf, "customer").select(F.col("c_custkey").alias(k), F.col("c_name").alias(f"name_{k}"))
-    return best.join(name("a"), "a").join(name("b"), "b").select("a", "b", "grp", "months", "name_a", "name_b")
+    names = S.read(spark, sf, "customer").groupBy(F.col("c_custkey").alias("person")).agg(F.max("c_name").alias("name"))
+    return J.longest_overlaps(S.careers(spark, sf), "organization", names=names).select("a", "b", "grp", "months", "name_a", "name_b")
 
 
 @query(with_(CAREERS, _PAIRS) + "SELECT CASE WHEN a = 7 THEN b ELSE a END AS other, count(*) AS n FROM pairs WHERE a = 7 OR b = 7 GROUP BY 1")
