@@ -187,6 +187,28 @@ def longest_overlaps(careers: DataFrame, group: str, person: str = "person_id",
     return pairs.unionByName(many.groupBy([c for c in many.columns if c != "months"]).agg(F.max("months").alias("months")))
 
 
+def top_overlaps(careers: DataFrame, group: str, top: int, person: str = "person_id", start: str = "start_m", end: str = "end_m", open_months: int = 48) -> DataFrame:
+    """(a, b, months): of all pairs of overlap_pairs the top ones by their longest overlap in any group, smaller ids first
+    on ties, without all pairs.
+
+    People with the same interval in a group share all of it. Counting those gives, in linear work, a length that the top
+    pairs reach at least, and shorter intervals can't take part. Of a pair's rows at most one stands for each two intervals
+    of its people, so the top pairs are in that many times as many rows, and only those are grouped.
+    """
+    rows = materialize(careers.filter(F.col(start).isNotNull() & F.col(group).isNotNull() & F.col(person).isNotNull()).select(F.col(group).alias("grp"), F.col(person).alias("p"), F.col(start).alias("s"), F.coalesce(F.col(end), F.col(start) + open_months).alias("e")).filter("e > s").distinct(), "intervals")
+    n = rows.groupBy("grp", "s", "e").agg(F.count("*").alias("n")).groupBy((F.col("e") - F.col("s")).alias("months")).agg(F.sum(F.expr("double(n) * (n - 1) / 2")).alias("n"))
+    own = lambda d: d.groupBy("p").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    some, least, most = 0, 1, own(rows)
+    for months, pairs in n.orderBy(F.desc("months")).toLocalIterator():
+        if (some := some + pairs) >= top * most:
+            least = months
+            break
+    rows = rows.filter(F.col("e") - F.col("s") >= least)
+    order = [F.desc("months"), "a", "b"]
+    pairs = overlap_pairs(rows, "grp", "p", "s", "e", open_months, least).select("a", "b", "months")
+    return pairs.orderBy(*order).limit(top * own(rows) ** 2).groupBy("a", "b").agg(F.max("months").alias("months")).orderBy(*order).limit(top)
+
+
 def overlap_totals(careers: DataFrame, group: str, person: str = "person_id", start: str = "start_m", end: str = "end_m", open_months: int = 48) -> DataFrame:
     """(grp, person, overlaps, months): how many rows of overlap_pairs a person has in a group, and their months in all,
     without the pairs.

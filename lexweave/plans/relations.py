@@ -382,8 +382,7 @@ def g03_hub_network(spark, sf):
 @query(with_(CAREERS, _PAIRS) + "SELECT a, b, months FROM (SELECT a, b, max(months) AS months FROM pairs GROUP BY 1, 2 ORDER BY months DESC, a, b LIMIT 2000) WHERE months >= 6")
 def g04_officials_network(spark, sf):
     """The cap comes before the last filter, as the result is defined."""
-    best = J.overlap_pairs(S.careers(spark, sf), "organization").groupBy("a", "b").agg(F.max("months").alias("months"))
-    return best.orderBy(F.desc("months"), "a", "b").limit(2000).filter("months >= 6")
+    return J.top_overlaps(S.careers(spark, sf), "organization", 2000).filter("months >= 6")
 
 
 @query(with_(EDGES) + """, core AS (SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 480000), r AS (SELECT id, 0 AS r FROM core UNION ALL SELECT target_id, 1 FROM edges WHERE target_id IS NOT NULL AND source_id IN (SELECT id FROM core)
