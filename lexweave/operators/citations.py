@@ -42,9 +42,12 @@ def build_citations(docs: DataFrame, sites: DataFrame) -> DataFrame:
     source_id, target_ref, target_id, citation_type, source_level, target_level.
 
     Texts are read once: what was extracted is written. So is what each later step finds (vocabulary, canonical forms, edges
-    by number, names, their titles), so the driver never plans more than one step and none is computed twice. Kinds
-    are formal, named and llm. References to the document itself don't count; an llm reference that the patterns found too
-    doesn't either.
+    by number, names, their titles, all edges), so the driver plans one step at a time, a query on the edges
+    plans none of the builder, and nothing is computed twice. Kinds are formal, named and llm. References to the document
+    itself don't count; an llm reference that the patterns found too doesn't either.
+
+    What grows with the corpus meets by merging: Spark takes the size of packed files, before lists are unfolded, for that of
+    the rows, and sent hundreds of MB to the driver to broadcast them.
     """
     leveled = docs.join(sites.select("site_key", "admin_level"), "site_key", "left")
     extracted = [F.array_distinct(T.formal_refs(F.col("body"))).alias("formal"), F.array_distinct(T.named_refs(F.col("body"))).alias("named"), F.array_distinct("references").alias("references")]
@@ -57,20 +60,20 @@ def build_citations(docs: DataFrame, sites: DataFrame) -> DataFrame:
     refs = materialize(raw.select("ref").distinct(), "references")
     known = materialize(known_abbreviations(keys, refs), "abbreviations")
     canonical = materialize(canonical_refs(refs, known).select("ref", "canonical"), "canonical-references")
-    formal = raw.join(canonical, "ref").filter(F.col("canonical") != F.col("own_number"))
+    formal = raw.join(canonical.hint("merge"), "ref").filter(F.col("canonical") != F.col("own_number"))
     formal = two_keys(formal.select("source_id", F.col("canonical").alias("target_ref"), "source_level").distinct(), keys, F.col("target_ref"), T.norm_docnum(F.col("target_ref")))
     formal = materialize(formal, "formal-references").filter("target_id is null or target_id <> source_id").withColumn("citation_type", F.lit("formal")).withColumn("target_level", T.admin_level(F.col("target_ref")))
 
     named = base.select(F.col("id").alias("source_id"), "own", "source_level", F.explode("named").alias("target_ref")).filter(T.is_policy(F.col("target_ref"))).withColumn("citation_type", F.lit("named"))
     told = base.select(F.col("id").alias("source_id"), "own", "source_level", F.explode("references").alias("target_ref")).filter(F.length("target_ref") >= 4)
-    told = told.join(named.select("source_id", "target_ref"), ["source_id", "target_ref"], "left_anti").join(formal.select("source_id", "target_ref"), ["source_id", "target_ref"], "left_anti").withColumn("citation_type", F.lit("llm"))
+    told = told.join(named.select("source_id", "target_ref").hint("merge"), ["source_id", "target_ref"], "left_anti").join(formal.select("source_id", "target_ref").hint("merge"), ["source_id", "target_ref"], "left_anti").withColumn("citation_type", F.lit("llm"))
     names = named.unionByName(told).withColumn("name", T.norm_title(F.col("target_ref"))).filter(F.col("name") != F.col("own"))
     names = materialize(names, "named-references")
     found = materialize(resolve_titles(names.select("name"), titles), "resolved-titles")
-    by_name = names.join(found.select("name", F.col("id").alias("target_id")), "name", "left").filter("target_id is null or target_id <> source_id").withColumn("target_level", T.named_level(F.col("target_ref")))
+    by_name = names.join(found.select("name", F.col("id").alias("target_id")).hint("merge"), "name", "left").filter("target_id is null or target_id <> source_id").withColumn("target_level", T.named_level(F.col("target_ref")))
 
     columns = ["source_id", "target_ref", "target_id", "citation_type", "source_level", "target_level"]
-    return formal.select(*columns).unionByName(by_name.select(*columns)).dropDuplicates(["source_id", "target_ref", "citation_type"])
+    return materialize(formal.select(*columns).unionByName(by_name.select(*columns)).dropDuplicates(["source_id", "target_ref", "citation_type"]), "citations")
 
 
 def citation_rank(edges: DataFrame, weights: dict[str, float] = L.LEVEL_WEIGHTS) -> DataFrame:

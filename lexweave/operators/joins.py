@@ -35,7 +35,7 @@ def longest_suffix(rows: DataFrame, key: str, vocabulary: DataFrame, gate: Colum
     found = known.select(key, F.explode(ends).alias("word")).join(vocabulary.select("word").distinct(), "word")
     found = found.withColumn("head", F.substring(F.col(key), F.lit(1), F.length(key) - F.length("word")))
     found = found.filter(gate) if gate is not None else found
-    return rows.join(found.groupBy(key).agg(F.max_by("word", F.length("word")).alias("suffix")), key, "left")
+    return rows.join(found.groupBy(key).agg(F.max_by("word", F.length("word")).alias("suffix")).hint("merge"), key, "left")
 
 
 def _windows(c: str, size: int) -> Column:
@@ -49,28 +49,29 @@ def resolve_titles(names: DataFrame, titles: DataFrame, least_title: int = 8, le
     then the shortest title that the name is part of, the smallest id on ties. Candidates come from seeds: what is part of
     something else is looked up by the rarest of its windows, so openings that many titles share don't pile up, and is then
     verified. Nothing is lost, as all windows of the longer side are looked up. What several steps read is written between them.
+    Titles, names and windows meet by merging: Spark goes by the size of the packed files and would send all titles to the driver.
     """
 
     def windows(df: DataFrame, c: str, size: int) -> DataFrame:
         return df.filter(F.length(c) >= size).select(c, F.explode(_windows(c, size)).alias("w")).select(c, "w.pos", "w.gram")
 
     def rarest(grams: DataFrame, c: str, frequency: DataFrame) -> DataFrame:
-        counted = grams.join(frequency, "gram", "left")
+        counted = grams.join(frequency.hint("merge"), "gram", "left")
         return counted.groupBy(c).agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "pos")).alias("gram"))
 
     t = materialize(titles.filter(F.length("title") > 0).groupBy("title").agg(F.min("id").alias("id")), "titles")
     n = materialize(names.select("name").filter(F.length("name") > 0).distinct(), "names")
-    equal = n.join(t, n.name == t.title).select("name", "id", F.lit("equal").alias("how"))
-    rest = materialize(n.join(equal, "name", "left_anti"), "names-without-equal")
+    equal = materialize(n.join(t.hint("merge"), n.name == t.title).select("name", "id", F.lit("equal").alias("how")), "names-with-equal")
+    rest = materialize(n.join(equal.hint("merge"), "name", "left_anti"), "names-without-equal")
     long_titles = t.filter(F.length("title") >= least_title)
     wide = windows(long_titles, "title", least_title)
-    seeds = rarest(wide, "title", wide.groupBy("gram").agg(F.count("*").alias("df"))).join(long_titles, "title")
-    inside = windows(rest, "name", least_title).select("name", "gram").distinct().join(seeds, "gram").withColumn("at", F.instr("name", F.col("title"))).filter("at > 0")
+    seeds = rarest(wide, "title", wide.groupBy("gram").agg(F.count("*").alias("df"))).join(long_titles.hint("merge"), "title")
+    inside = windows(rest, "name", least_title).select("name", "gram").distinct().join(seeds.hint("merge"), "gram").withColumn("at", F.instr("name", F.col("title"))).filter("at > 0")
     inside = materialize(inside.groupBy("name").agg(F.max_by("id", F.struct(F.length("title"), -F.col("at"))).alias("id")).select("name", "id", F.lit("title in name").alias("how")), "titles-in-names")
-    rest = rest.join(inside, "name", "left_anti").filter(F.length("name") >= least_name)
+    rest = rest.join(inside.hint("merge"), "name", "left_anti").filter(F.length("name") >= least_name)
     grams = windows(long_titles, "title", least_name).select("title", "gram").distinct()
     rare = rarest(windows(rest, "name", least_name), "name", grams.groupBy("gram").agg(F.count("*").alias("df")))
-    around = rare.join(grams, "gram").filter(F.col("title").contains(F.col("name"))).join(long_titles, "title")
+    around = rare.join(grams.hint("merge"), "gram").filter(F.col("title").contains(F.col("name"))).join(long_titles.hint("merge"), "title")
     around = around.groupBy("name").agg(F.min_by("id", F.struct(F.length("title"), F.col("id"))).alias("id")).select("name", "id", F.lit("name in title").alias("how"))
     return equal.unionByName(inside).unionByName(around)
 
@@ -259,11 +260,12 @@ def zip_shortest(*arrays: Column) -> Column:
 
 def two_keys(refs: DataFrame, docs: DataFrame, ref: Column, normal: Column) -> DataFrame:
     """Refs with target_id by the raw document number, else by the normalised one. docs: id, number, number_norm.
-    Of equal raw numbers the largest id counts, of equal normalised ones the smallest (T10)."""
+    Of equal raw numbers the largest id counts, of equal normalised ones the smallest (T10). All numbers of the corpus take
+    part, so neither side is sent to the driver."""
     raw = docs.filter("number <> ''").groupBy("number").agg(F.max("id").alias("__raw"))
     folded = docs.filter("number_norm <> ''").groupBy("number_norm").agg(F.min("id").alias("__norm"))
     out = refs.withColumn("__r", ref).withColumn("__n", normal)
-    out = out.join(raw, F.col("__r") == raw.number, "left").join(folded, F.col("__n") == folded.number_norm, "left")
+    out = out.join(raw.hint("merge"), F.col("__r") == raw.number, "left").join(folded.hint("merge"), F.col("__n") == folded.number_norm, "left")
     return out.withColumn("target_id", F.coalesce("__raw", "__norm")).drop("__raw", "__norm", "__r", "__n", "number", "number_norm")
 
 
