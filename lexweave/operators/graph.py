@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.session import materialize
+
 
 def neighbourhood(edges: DataFrame, centre: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, is_centre) and edges of one document's citations in both directions."""
@@ -24,16 +26,17 @@ def document_citations(edges: DataFrame, docs: DataFrame, centre: int) -> DataFr
 
 def chains(edges: DataFrame, levels: DataFrame, top: str) -> DataFrame:
     """(root, middle, leaf, levels): documents of the top level, what cites them and what cites that (null: nothing).
-    levels: id, level of each document."""
+    levels: id, level of each document. Levels and leveled pairs are written, as both are read twice, and meet by merging, since
+    their files are far smaller than their rows."""
+    levels = materialize(levels.select("id", "level"), "levels")
     pairs = edges.filter("target_id is not null").select("source_id", "target_id").distinct()
-    known = pairs.join(levels.select(F.col("id").alias("source_id"), F.col("level").alias("lower")), "source_id").join(levels.select(F.col("id").alias("target_id"), F.coalesce("level", F.lit("unknown")).alias("upper")), "target_id")
+    known = pairs.join(levels.select(F.col("id").alias("source_id"), F.col("level").alias("lower")).hint("merge"), "source_id").join(levels.select(F.col("id").alias("target_id"), F.coalesce("level", F.lit("unknown")).alias("upper")).hint("merge"), "target_id")
+    known = materialize(known, "leveled-citations")
     first = known.filter(F.col("upper") == top).select(F.col("target_id").alias("root"), F.col("source_id").alias("middle"), "upper", "lower")
-    second = known.select(F.col("target_id").alias("middle"), F.col("source_id").alias("leaf"), F.col("lower").alias("lowest"))
-    both = first.join(second, "middle", "left")
+    second = known.select(F.col("target_id").alias("via"), F.col("source_id").alias("leaf"), F.col("lower").alias("lowest"))
     # A citation back to the root is no chain; a middle that has no other keeps its row without a leaf.
-    forth = both.filter(F.col("leaf").isNull() | (F.col("leaf") != F.col("root")))
-    lone = first.join(forth.select("root", "middle").distinct(), ["root", "middle"], "left_anti").select("middle", "root", "upper", "lower", F.lit(None).cast("long").alias("leaf"), F.lit(None).cast("string").alias("lowest"))
-    return forth.unionByName(lone).select("root", "middle", "leaf", F.concat_ws(" > ", "upper", "lower", "lowest").alias("levels"))
+    both = first.join(second.hint("merge"), (F.col("middle") == F.col("via")) & (F.col("leaf") != F.col("root")), "left")
+    return both.select("root", "middle", "leaf", F.concat_ws(" > ", "upper", "lower", "lowest").alias("levels"))
 
 
 def hub_network(edges: DataFrame, max_hubs: int = 400, max_edges: int = 2500) -> DataFrame:
