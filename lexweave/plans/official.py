@@ -156,7 +156,7 @@ def a20_site_by_level(spark, sf):
 @query(with_(CITATIONS) + "SELECT target_ref, count(DISTINCT site_key) AS sites, count(*) AS n FROM cites JOIN official ON source_id = id WHERE target_level = 'central' GROUP BY 1 ORDER BY sites DESC, n DESC, target_ref LIMIT 30")
 def a20_central_by_sites(spark, sf):
     """Central references by the number of sites that cite them."""
-    c = citations(spark, sf).filter("target_level = 'central'").join(official(spark, sf).select(F.col("id").alias("source_id"), "site_key"), "source_id")
+    c = citations(spark, sf).filter("target_level = 'central'").join(official(spark, sf).select(F.col("id").alias("source_id"), "site_key").hint("merge"), "source_id")
     return c.groupBy("target_ref").agg(F.count_distinct("site_key").alias("sites"), F.count("*").alias("n")).orderBy(F.desc("sites"), F.desc("n"), "target_ref").limit(30)
 
 
