@@ -150,7 +150,7 @@ def t05_corpus_levels(spark, sf):
 @query(with_(CITATIONS) + "SELECT site_key, target_level, count(*) AS n FROM cites JOIN official ON source_id = id GROUP BY 1, 2")
 def a20_site_by_level(spark, sf):
     """How often each site cites each level."""
-    return citations(spark, sf).join(official(spark, sf).select(F.col("id").alias("source_id"), "site_key"), "source_id").groupBy("site_key", "target_level").agg(F.count("*").alias("n"))
+    return citations(spark, sf).join(official(spark, sf).select(F.col("id").alias("source_id"), "site_key").hint("merge"), "source_id").groupBy("site_key", "target_level").agg(F.count("*").alias("n"))
 
 
 @query(with_(CITATIONS) + "SELECT target_ref, count(DISTINCT site_key) AS sites, count(*) AS n FROM cites JOIN official ON source_id = id WHERE target_level = 'central' GROUP BY 1 ORDER BY sites DESC, n DESC, target_ref LIMIT 30")
